@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that separate words of [0-9a-z] and everything beyond ASCII, after A-Z are lower-cased.
-ALNUM_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of characters that separate words of [0-9a-z] and everything beyond ASCII, after A-Z are lower-cased.
+ALNUM_BREAKS = r"[^0-9a-z\P{ASCII}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,14 +38,19 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z only. lower() does that to pure ASCII; other texts go through translate()."""
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def alnum_words(text: Column) -> Column:
+    """Words of a whole text as an array, A-Z lower-cased; null and empty texts have none."""
+    return F.filter(alnum_split(text), lambda w: w != "")
 
 
-def alnum_words(text: Column) -> Column:
-    """Words of a whole text as an array; null and empty texts have none."""
-    return F.coalesce(F.filter(F.split(ascii_lower(text), ALNUM_BREAKS), lambda w: w != ""), F.array().cast("array<string>"))
+def alnum_split(text: Column) -> Column:
+    """The same in one compiled expression; an empty string stands first or last where a text begins or ends with no word."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), ALNUM_BREAKS)
+
+
+#: Of an array `words` from alnum_split: how many empty strings stand in front, and how many words there are.
+LEAD = "IF(words[0] = '', 1, 0)"
+N_WORDS = f"CAST(size(words) - {LEAD} - IF(size(words) > 1 AND words[size(words) - 1] = '', 1, 0) AS BIGINT)"
 
 
 class WordHashes(dict):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, tokencount, toxicity
+from . import decontam, langid, licences, neardup, quality, tokencount, toxicity
 from .base import shared_dir, table
 
 
@@ -20,6 +20,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.graded(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({x: F.array_join(x, ",") for x in ("base_labels", "labels")})
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
@@ -33,10 +44,76 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), shared_dir(spark, "token-counts"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_language, op7_quality, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_licences, op5_language, op7_quality, op8_near_duplicates, op10_token_counts)}
+#: Pieces of the SQL.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACED = r"[^\x20\x09-\x0D]+"
+
+OP2_SQL = f"""
+WITH item AS (SELECT item_id, {ALNUM} AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 13) AS size, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i : i + 12], ' '))) AS window_text
+  FROM item WHERE len(w) > 0
+),
+doc AS MATERIALIZED (SELECT doc_id, {ALNUM} AS w FROM documents),
+size AS (SELECT DISTINCT size FROM win),
+place AS (
+  SELECT doc_id, size, i AS start, array_to_string(w[i : i + size - 1], ' ') AS window_text
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc CROSS JOIN size WHERE len(w) >= size)
+),
+hit AS (SELECT DISTINCT doc_id, start, p.size, item_id FROM place p JOIN win USING (window_text)),
+word AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + size)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP7_SQL = rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM doc WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+repeat_words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM twice) GROUP BY doc_id),
+line AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM doc) WHERE regexp_matches(x, '{SPACED}')),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM line GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN repeat_words r USING (doc_id)
+),
+b AS (
+  SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN n_symbols > 2 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines AND n_dup_lines >= 10 THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 100 * n_words AND n_words > 0 THEN 16 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACED}') AS w FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS x FROM doc WHERE len(w) > 0)
+),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM shingle p JOIN shingle q USING (x) WHERE p.doc_id <> q.doc_id GROUP BY 1, 2) c
+  JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * common >= 85 * (s.n + t.n - common)
+),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.seen = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL}
