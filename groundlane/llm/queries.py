@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licences, neardup, quality, tokencount, toxicity
+from . import decontam, langid, licences, neardup, packing, quality, tokenbin, tokencount, toxicity, warc
 from .base import shared_dir, table
 
 
@@ -31,11 +31,19 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({x: F.array_join(x, ",") for x in ("base_labels", "labels")})
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -48,12 +56,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), shared_dir(spark, "token-counts"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_licences, op5_language, op7_quality, op8_near_duplicates, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_decontamination, op3_licences, op4_warc, op5_language,
+        op6_packing, op7_quality, op8_near_duplicates, op9_token_ids, op10_token_counts,
+    )
+}
 #: Pieces of the SQL.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -116,4 +134,12 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m A
 FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL}
+OP4_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT digest, min(page_id) AS first FROM page WHERE strlen(html) >= 100 GROUP BY digest)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM page LEFT JOIN first USING (digest)
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL}
