@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import saved
-from .tok import JsonEncoder
+from .tok import json_encoder
 
 SIZE, LEAST = 2048, 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -114,11 +114,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, source, part, from_token (of this source in this partition), n_tokens and ids (u16 or u32, little-endian)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encoder, at = TaskContext.get().partitionId(), JsonEncoder(tokenizer, "words"), {}
+        part, encoder, at = TaskContext.get().partitionId(), json_encoder(tokenizer, "words"), {}
         for b in batches:
             starts, sizes, data = [], [], []
             for source, text in zip(b["source"], b["text"], strict=True):
-                ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.encode(text).astype("<u4"), np.uint32(end_id))
                 starts.append(at.get(source, 0))
                 at[source] = starts[-1] + len(ids)
                 sizes.append(len(ids))

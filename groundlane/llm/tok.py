@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,77 +21,62 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class Pieces(dict):
-    """Piece -> value, for at most `limit` pieces at a time."""
-
-    def __init__(self, encode, limit: int = 400_000):
-        super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def learn(self, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self))
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(dict.fromkeys(pieces))
-        self.update(zip(new, self.encode(new), strict=True))
-
-
 class JsonEncoder:
     """Ids of a tokenizers file, add_special_tokens=False. `kind`: "words" drops white space, "bytes" keeps it at a word's front."""
 
     CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+    LIMIT = 600_000
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
-        self.known = Pieces(lambda new: [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if "<|" in text:  # may hold a special token, which the library looks for in the whole text first
             return [text]
         return text.replace("\n", " ").split(" ") if self.kind == "words" else self.CUT.findall(text)
 
+    def learn(self, new: set[str]) -> None:
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        names = list(new)
+        for name, x in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
+            self.known[name] = np.array(x.ids, self.type).tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
+        """The ids as little-endian unsigned numbers of `type`."""
         if not text:
-            return np.empty(0, np.uint32)
+            return np.empty(0, self.type)
         cut = self.pieces(text)
-        if len(cut) == 1 and len(text) > 200:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        self.known.learn(cut)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, cut)), np.uint32)
-
-
-class PieceCounter:
-    """Token counts of a sentencepiece file that has no normaliser and puts the space mark only in front of pieces."""
+        if len(cut) == 1:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+        if new := set(cut).difference(self.known):
+            self.learn(new)
+            new = set(cut).difference(self.known)  # what was forgotten to make room
+            if new:
+                self.learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), self.type)
 
-    CUT = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known = Pieces(lambda new: list(map(len, self.model.encode(new, num_threads=1))))
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        normaliser_free = all(self.model.encode(x, out_type=str) == self.model.encode(x.replace(" ", "▁"), out_type=str) for x in ("a  b c", "  a"))
-        self.cuts = normaliser_free and all(re.fullmatch("▁*[^▁]*", p) for p in pieces)
-
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if not self.cuts or text[-1] in " ▁":
-            return len(self.model.encode(text, num_threads=1))
-        first, *rest = self.CUT.findall(text)
-        cut = [first, *(p[1:] for p in rest)]  # the mark that the library puts before any text stands for the space cut off
-        self.known.learn(cut)
-        return sum(map(self.known.__getitem__, cut))
+@lru_cache(maxsize=4)
+def json_encoder(path: str, kind: str) -> JsonEncoder:
+    """One encoder per worker process, so that what it has met serves later tasks too."""
+    return JsonEncoder(path, kind)
 
 
+@lru_cache(maxsize=4)
 def counter(path: str):
     """text -> number of tokens, by the library that the file's name asks for."""
     if path.endswith(".model"):
-        return PieceCounter(path).count
-    encoder = JsonEncoder(path, "bytes")
-    encoder.pieces = lambda text: [text]
-    return lambda text: len(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids)
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda text: len(model.encode(text or "", num_threads=1))
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    return lambda text: len(whole.encode(text or "", add_special_tokens=False).ids)

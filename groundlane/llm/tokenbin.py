@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .base import saved, shared_dir
-from .tok import JsonEncoder
+from .tok import json_encoder
 
 MAGIC, ENTRY, NO_ID = b"GLTOKEN1", np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")]), -(2**63)
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL, SHARD_DOCS = 1_000, 20_000, 64_000, 3, 200_000
@@ -70,8 +70,8 @@ def trained(docs: DataFrame, tokenizer: str, end_id: int, narrow: bool) -> bytes
     whole = docs.where(f"length(text) BETWEEN 1 AND {SAMPLE_CHARS}").select("doc_id", "text")
     names = whole.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = sorted(r["text"] for r in whole.join(F.broadcast(names.distinct()), "doc_id").select("text").limit(2 * SAMPLE).collect())
-    encoder = JsonEncoder(tokenizer, "bytes")
-    arrays = [serialised(np.append(encoder.encode(t), end_id), narrow) for t in texts]
+    encoder = json_encoder(tokenizer, "bytes")
+    arrays = [serialised(np.append(encoder.encode(t).astype("<u4"), np.uint32(end_id)), narrow) for t in texts]
     size = min(DICTIONARY, sum(map(len, arrays)) // 10)
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes() if size >= 1024 else b""
@@ -88,7 +88,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, narrow: boo
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, encoder = TaskContext.get().partitionId(), 0, JsonEncoder(tokenizer, "bytes")
+        part, number, encoder = TaskContext.get().partitionId(), 0, json_encoder(tokenizer, "bytes")
         made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
         head = MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<I", len(dictionary)) + dictionary
         frames, entries, at = [], [], len(head)
@@ -104,7 +104,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, narrow: boo
 
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.append(encoder.encode(text), np.uint32(end_id))
+                ids = np.append(encoder.encode(text).astype("<u4"), np.uint32(end_id))
                 frames.append(made.compress(serialised(ids, narrow)))
                 entries.append((doc, at, len(frames[-1]), len(ids)))
                 at += len(frames[-1])
