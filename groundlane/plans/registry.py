@@ -1,4 +1,6 @@
 """All queries over the reference's operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import curation, geometry, prompts, training
+
+QUERIES = {k: v for m in (curation, prompts, geometry, training) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (curation, prompts, geometry, training) for k, v in m.SQL.items()}
