@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,18 +22,50 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+#: What the two vocabularies' files split texts by, and printable stand-ins for bytes.
+SPLITS = {
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+}
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
+class Tokens(dict):
+    """Word -> its ids as bytes, from the library's BPE model, for at most `limit` words at a time."""
+
+    def __init__(self, model, kind: str, limit: int = 1_000_000):
+        super().__init__()
+        self.model, self.type, self.limit = model, kind, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        shown = word.encode().decode("latin-1").translate(BYTES)
+        self[word] = out = array(self.type, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return out
+
+
 class JsonEncoder:
-    """Ids of a tokenizers file, add_special_tokens=False. `kind`: "words" drops white space, "bytes" keeps it at a word's front."""
+    """Ids of a tokenizers file, add_special_tokens=False. `kind`: "words" drops white space, "bytes" keeps it at a word's front.
+
+    A piece of Latin-1 characters, which neither NFC nor the case of its neighbours can change, is split here and its words go to the
+    library's BPE model; any other piece goes through the library's whole chain.
+    """
 
     CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-    LIMIT = 600_000
+    PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\xff]+").fullmatch
+    LIMIT = 250_000
 
     def __init__(self, path: str, kind: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
+        self.words = Tokens(self.tokenizer.model, "H" if self.type == "<u2" else "I")
+        self.split = regex.compile(SPLITS[kind]).findall
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -43,8 +76,13 @@ class JsonEncoder:
     def learn(self, new: set[str]) -> None:
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        names = list(new)
-        for name, x in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
+        rest = []
+        for name in new:
+            if self.PLAIN(name):
+                self.known[name] = b"".join([self.words[w] for w in self.split(name.lower() if self.kind == "words" else name)])
+            else:
+                rest.append(name)
+        for name, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.known[name] = np.array(x.ids, self.type).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -54,12 +92,15 @@ class JsonEncoder:
         cut = self.pieces(text)
         if len(cut) == 1:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
-        if new := set(cut).difference(self.known):
-            self.learn(new)
-            new = set(cut).difference(self.known)  # what was forgotten to make room
-            if new:
-                self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), self.type)
+        known = self.known
+        try:
+            return np.frombuffer(b"".join([known[p] for p in cut]), self.type)
+        except KeyError:
+            self.learn(set(cut).difference(known))
+        return np.frombuffer(b"".join([known[p] if p in known else self.whole(p) for p in cut]), self.type)
+
+    def whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.type).tobytes()
 
 
 @lru_cache(maxsize=4)
