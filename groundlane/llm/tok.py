@@ -54,6 +54,7 @@ class JsonEncoder:
     """
 
     CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+    ODD = re.compile("[" + WHITE.replace(" ", "", 1).replace("\n", "") + "]").search
     PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\xff]+").fullmatch
     LIMIT = 250_000
 
@@ -67,18 +68,27 @@ class JsonEncoder:
         self.words = Tokens(self.tokenizer.model, "H" if self.type == "<u2" else "I")
         self.split = regex.compile(SPLITS[kind]).findall
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if "<|" in text:  # may hold a special token, which the library looks for in the whole text first
             return [text]
-        return text.replace("\n", " ").split(" ") if self.kind == "words" else self.CUT.findall(text)
+        if self.kind == "words":
+            return text.replace("\n", " ").split(" ")
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.ODD(text):
+            return self.CUT.findall(text)
+        # Single spaces between words: each stands at the front of the word after it, and no other white space touches one.
+        first, *rest = text.split(" ")
+        return [first, *[" " + p for p in rest]]
 
     def learn(self, new: set[str]) -> None:
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
+        if len(self.known) > self.LIMIT:  # pieces in use move to the new generation when they are met again
+            self.old, self.known = self.known, {}
         rest = []
         for name in new:
-            if self.PLAIN(name):
+            if name in self.old:
+                self.known[name] = self.old[name]
+            elif self.PLAIN(name):
                 self.known[name] = b"".join([self.words[w] for w in self.split(name.lower() if self.kind == "words" else name)])
             else:
                 rest.append(name)
@@ -92,15 +102,14 @@ class JsonEncoder:
         cut = self.pieces(text)
         if len(cut) == 1:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
-        known = self.known
         try:
-            return np.frombuffer(b"".join([known[p] for p in cut]), self.type)
+            return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), self.type)
         except KeyError:
-            self.learn(set(cut).difference(known))
-        return np.frombuffer(b"".join([known[p] if p in known else self.whole(p) for p in cut]), self.type)
-
-    def whole(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.type).tobytes()
+            missing = set(cut).difference(self.known)
+            if len(self.known) > self.LIMIT:
+                missing = set(cut)
+            self.learn(missing)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), self.type)
 
 
 @lru_cache(maxsize=4)
