@@ -47,7 +47,7 @@ def found_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
     # Index -1 stands for the document itself: its hash 0 is in the set, so that each document leaves the stage once.
     rows = cut.select("doc_id", "text_hash", "words", F.explode(F.expr(f"sequence(-1, greatest(size(words) - {sizes[-1]}, -1))")).alias("i"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size")) if len(sizes) > 1 else rows.withColumn("size", F.lit(SIZE))
-    rows = rows.where(f"i + size <= size(words) OR i < 0 AND size = {SIZE}")
+    rows = rows.where(f"i >= 0 AND i + size <= size(words) OR i < 0 AND size = {SIZE}")
     rows = rows.withColumn("hash", F.expr(f"CASE WHEN i < 0 THEN 0L ELSE {hash_by_size(sizes)} END"))
     window = F.array_join(F.slice("words", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("size")), " ")
     final = ["doc_id", "text_hash", F.expr(N_WORDS).alias("n_words"), F.expr(f"IF(i < 0, NULL, i - {LEAD})").alias("start"), "size", window.alias("window")]
