@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,54 +33,86 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
+NAMES = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
 
 
-def script(word: str) -> str:
-    c = ord(word[0])
-    return next((name for name, a, b in SCRIPTS if a <= c <= b), "other")
+def script(words: list[str]) -> np.ndarray:
+    """The number of each word's script by its first letter: the place in NAMES."""
+    c = np.array([ord(w[0]) for w in words], np.int64)
+    at = np.maximum(np.searchsorted([a for _, a, _ in SCRIPTS], c, "right") - 1, 0)
+    low, high = np.array([a for _, a, _ in SCRIPTS])[at], np.array([b for _, _, b in SCRIPTS])[at]
+    number = np.array([NAMES.index(name) for name, _, _ in SCRIPTS])[at]
+    return np.where((low <= c) & (c <= high), number, NAMES.index("other"))
 
 
-def trigrams(word: str) -> list[str]:
-    w = f"^^{word}$"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the trigrams of ^^word$ for all words one after the other, and how many each word has. The upper bits of a code,
+    past 21, are that of its first two letters."""
+    c = np.frombuffer("".join(f"^^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(w) + 3 for w in words])
+    c = np.append(c, np.zeros(2, np.uint64))
+    code = c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+    inside = np.ones(len(code), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return code[inside], np.array([len(w) + 1 for w in words], np.int64)
+
+
+def place(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where each code stands in the sorted codes known, else -1."""
+    if not len(known):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, at, -1)
 
 
-@dataclass
 class Model:
-    langs: list[str] = field(default_factory=list)
-    words: dict[str, list[int]] = field(default_factory=dict)
-    totals: list[int] = field(default_factory=list)
+    """langs and, of each word kept, its count per language; trigram and script tables follow from these once, on the driver."""
 
-    def scorer(self):
-        """word -> log posteriors over langs, from the counts that travel with the model."""
+    def __init__(self, langs: list[str] | None = None, words: list[str] | None = None, counts: np.ndarray | None = None):
+        self.langs = langs or []
         n = len(self.langs)
-        tri: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        two: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        for w, c in self.words.items():
-            c = np.array(c, float)
-            scripts[script(w)] += c
-            for t in trigrams(w):
-                tri[t] += c
-                two[t[:2]] += c
-        total = np.array(self.totals, float)
-        allowed = {s: c >= 0.01 * np.maximum(total, 1) for s, c in scripts.items()}
-        zero = np.zeros(n)
-
-        def score(word: str) -> np.ndarray:
-            p = np.zeros(n)
-            for t in trigrams(word[:40]):
-                p += np.log((tri.get(t, zero) + 0.1) / (two.get(t[:2], zero) + 4.0))
-            counts = np.array(self.words.get(word, zero), float)
-            p = np.log((counts + 20.0 * np.exp(np.maximum(p, -600))) / (total + 20.0))
-            can = allowed.get(script(word))
-            if can is not None and can.any():
-                p = np.where(can, p, p.max() - 30)
-            p -= p.max()
-            p -= np.log(np.exp(p).sum())
-            return np.maximum(p, -8.0)
-
-        return score
+        words = words or []
+        self.words = {w: i for i, w in enumerate(words)}
+        self.counts = np.zeros((0, n)) if counts is None else counts.astype(float)
+        self.totals = self.counts.sum(0)
+        if not words:
+            return
+        codes, sizes = trigrams(words)
+        per = np.repeat(self.counts, sizes, 0)
+        self.tri, tri = summed(codes, per)
+        self.two, two = summed(codes >> np.uint64(21), per)
+        two = np.concatenate([two, np.zeros((1, n))])  # the last row, -1, stands for pairs of letters never seen
+        self.tri_log = np.log((tri + 0.1) / (two[place(self.two, self.tri >> np.uint64(21))] + 4.0))
+        self.two_log = np.log(0.1 / (two + 4.0))
+        numbers = script(words)
+        seen = np.column_stack([np.bincount(numbers, self.counts[:, k], len(NAMES)) for k in range(n)])
+        self.allowed = seen >= 0.01 * np.maximum(self.totals, 1)
+        self.allowed[~self.allowed.any(1)] = True
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log posteriors over langs, one row per word."""
+        parts = [self._scores(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+        return np.concatenate(parts) if parts else np.empty((0, len(self.langs)))
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        codes, sizes = trigrams(words)
+        at = place(self.tri, codes)
+        logs = np.where((at >= 0)[:, None], self.tri_log[at], self.two_log[place(self.two, codes >> np.uint64(21))])
+        spelt = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+        known = np.array([self.words.get(w, -1) for w in words])
+        with np.errstate(divide="ignore"):
+            counted = np.log(np.where((known >= 0)[:, None], self.counts[known], 0.0))
+        p = np.logaddexp(counted, np.log(20.0) + spelt) - np.log(self.totals + 20.0)
+        p = np.where(self.allowed[script(words)], p, p.max(1, keepdims=True) - 30)
+        p -= p.max(1, keepdims=True)
+        p -= np.log(np.exp(p).sum(1, keepdims=True))
+        return np.maximum(p, -8.0)
+
+
+def summed(codes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their rows."""
+    known, at = np.unique(codes, return_inverse=True)
+    return known, np.column_stack([np.bincount(at, per[:, k], len(known)) for k in range(per.shape[1])])
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -134,26 +165,15 @@ SPANS = "lang_pred string, score double, spans array<struct<first_word: int, n_w
 
 def labelled(model: Model):
     """Iterator of text batches -> iterator of frames with the columns of SPANS."""
-    score, langs = model.scorer(), model.langs
-    rows: dict[str, int] = {}
-    table = np.empty((0, len(langs)))
+    langs = model.langs
     many = 2_000  # texts at a time
 
-    def learn(words: list[str]) -> None:
-        nonlocal table
-        new = list(dict.fromkeys(w for w in words if w not in rows))
-        if len(rows) + len(new) > 500_000:
-            rows.clear()
-            table, new = table[:0], list(dict.fromkeys(words))
-        if new:
-            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-            table = np.concatenate([table, [score(w) for w in new]])
-
     def frame(texts: list[str | None]) -> pd.DataFrame:
         cut = [WORD.findall(t.lower()) if t and langs else [] for t in texts]
         words = [w for c in cut for w in c]
-        learn(words)
-        labels = viterbi(table[[rows[w] for w in words]], np.array([len(c) for c in cut])) if words else np.empty(0, np.int64)
+        rows: dict[str, int] = {}
+        at = [rows.setdefault(w, len(rows)) for w in words]
+        labels = viterbi(model.scores(list(rows))[at], np.array([len(c) for c in cut])) if words else np.empty(0, np.int64)
         letters, out, i = np.array([len(w) for w in words], float), [], 0
         for c in cut:
             if not c:
@@ -204,15 +224,12 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -
     kept = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     rows = kept.orderBy(F.col("total").desc(), "word").limit(max_words).collect()
     langs = sorted({x["lang"] for r in rows for x in r["by"]})
-    place = {x: i for i, x in enumerate(langs)}
-    model = Model(langs, {}, [0] * len(langs))
-    for r in rows:
-        c = [0] * len(langs)
+    number = {x: i for i, x in enumerate(langs)}
+    counts = np.zeros((len(rows), len(langs)))
+    for r, mine in zip(rows, counts, strict=True):
         for x in r["by"]:
-            c[place[x["lang"]]] = x["n"]
-            model.totals[place[x["lang"]]] += x["n"]
-        model.words[r["word"]] = c
-    return model
+            mine[number[x["lang"]]] = x["n"]
+    return Model(langs, [r["word"] for r in rows], counts)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
