@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import saved
+
 WORD = re.compile(r"[^\W\d_]+")
 MAX_ROWS, MAX_WORDS, PENALTY, BLOCK = 20_000, 200_000, 4.0, 64
 UND = "und"
@@ -78,9 +80,8 @@ class Model:
         if not words:
             return
         codes, sizes = trigrams(words)
-        per = np.repeat(self.counts, sizes, 0)
-        self.tri, tri = summed(codes, per)
-        self.two, two = summed(codes >> np.uint64(21), per)
+        self.tri, tri = summed(codes, self.counts, sizes)
+        self.two, two = summed(codes >> np.uint64(21), self.counts, sizes)
         two = np.concatenate([two, np.zeros((1, n))])  # the last row, -1, stands for pairs of letters never seen
         self.tri_log = np.log((tri + 0.1) / (two[place(self.two, self.tri >> np.uint64(21))] + 4.0))
         self.two_log = np.log(0.1 / (two + 4.0))
@@ -109,10 +110,10 @@ class Model:
         return np.maximum(p, -8.0)
 
 
-def summed(codes: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sums of their rows."""
+def summed(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their words' counts; sizes says how many codes each word has."""
     known, at = np.unique(codes, return_inverse=True)
-    return known, np.column_stack([np.bincount(at, per[:, k], len(known)) for k in range(per.shape[1])])
+    return known, np.column_stack([np.bincount(at, np.repeat(c, sizes), len(known)) for c in counts.T])
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -222,14 +223,17 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -
 
     counts = texts.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     kept = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    rows = kept.orderBy(F.col("total").desc(), "word").limit(max_words).collect()
-    langs = sorted({x["lang"] for r in rows for x in r["by"]})
+    # At most max_words rows reach the driver, as Arrow columns: row objects would take many times their size.
+    found = saved(kept.orderBy(F.col("total").desc(), "word").limit(max_words), "language-words").toArrow()
+    by = found.column("by").combine_chunks()
+    entries = by.flatten()
+    names = entries.field("lang").to_pylist()
+    langs = sorted(set(names))
     number = {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(rows), len(langs)))
-    for r, mine in zip(rows, counts, strict=True):
-        for x in r["by"]:
-            mine[number[x["lang"]]] = x["n"]
-    return Model(langs, [r["word"] for r in rows], counts)
+    counts = np.zeros((found.num_rows, len(langs)))
+    row = np.repeat(np.arange(found.num_rows), by.value_lengths().to_numpy(zero_copy_only=False))
+    counts[row, [number[x] for x in names]] = entries.field("n").to_numpy()
+    return Model(langs, found.column("word").to_pylist(), counts)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
