@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import saved
 from .tok import counter, file_digest
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -66,7 +67,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     misses = firsts.repartition(parts, "content_digest").join(held.hint("shuffle_hash"), "content_digest", "left_anti")
     misses.mapInPandas(encoded, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that both sides of the last join are exchanged for it and a hot digest's rows can be split over tasks.
+    counts = saved(read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     narrow = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     return narrow.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
