@@ -4,10 +4,13 @@
    bin, the least hash in it is the bin's value. An empty bin copies the bin that a fixed random sequence of its own reaches first
    (optimal densification). 32 bands of 4 bins become bucket keys.
 2. Equal sets collapse to their smallest doc_id before anything else, so a copy group of any size is one node from here on.
-3. A bucket gives edges from one hub to its other members, never all pairs. The hub of the first round is the member that shares
-   most buckets with others, as the original of a family does; further rounds take random hubs in buckets that still hold more than
-   one component, until a round finds no new link. So pairs grow with bucket sizes, not with their squares, and nothing is capped.
-4. Each pair is confirmed on the full shingle sets. Components are the smallest label over confirmed links.
+3. A bucket gives edges from one hub to its other members: the member that shares most buckets with others, as the original of a
+   family does. So these pairs grow with bucket sizes, not with their squares.
+4. What that leaves apart is swept exactly. Members of buckets that still hold more than one component are listed under their rarest
+   shingles (prefix filter): of n shingles, ordered by how many members have them, the first n - ceil(0.85 n) + 1. Two sets at 0.85
+   share one of these, and at the first one shared the rest of both is long enough. Within a list, stars go on while they link;
+   then every pair of members of different components is taken, in blocks of members against members.
+5. Each pair is confirmed on the full shingle sets. Components are the smallest label over confirmed links.
 
 Chance: two sets at similarity 0.85 share no bucket with probability (1 - 0.85**4) ** 32 < 1e-10.
 Edge cases: null and blank texts have no shingles and are linked with nothing; fewer words than five are one shingle; a null doc_id
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .base import WordHashes, mixed, saved, window_hashes
 
-SHINGLE, BINS, BANDS, PERCENT, HUBS = 5, 128, 32, 85, 8
+SHINGLE, BINS, BANDS, PERCENT, BLOCK = 5, 128, 32, 85, 1000
 ROWS = BINS // BANDS
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
@@ -124,22 +127,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rated = saved(shared.join(popular, "node").select("key", "node", "size", "popularity"), "rated")
     hub = rated.groupBy("key").agg(F.max(F.struct("popularity", (-F.col("node")).alias("_n"), "size")).alias("h")).select("key", (-F.col("h._n")).alias("hub"), F.col("h.size").alias("hub_size"))
     links = saved(confirmed(star(rated, hub), sets), "confirmed")
-    labels = components(links)
-    all_links, turn = links, 0
-    while not links.isEmpty():
-        turn += 1
-        placed = rated.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        open_keys = placed.groupBy("key").agg(
-            F.min("component").alias("lo"),
-            F.max("component").alias("hi"),
-            F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + k)).alias("o"), "node", "size", "component")) for k in range(HUBS)])).alias("hubs"),
-        )
-        hubs = open_keys.where("lo < hi").select("key", F.explode("hubs").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.component").alias("hub_component"))
-        links = saved(confirmed(star(placed, hubs, apart=True), sets), "confirmed")
-        if links.isEmpty():
-            break
-        all_links = all_links.union(links)
-        labels = components(all_links, labels)
+    labels = swept(rated, sets, links)
 
     # Labels meet the distinct sets first; the documents, of which a third may share one set, come last and with narrow rows.
     final = copies.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -149,13 +137,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def swept(rated: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the links given and of all that members of the same bucket still have between components."""
+    labels = components(links)
+    unsettled = several(labelled(rated, labels)).select("node").distinct()
+    lists = saved(rare_lists(sets.join(unsettled, "node", "left_semi")), "lists")
+    turn = 0
+    while True:
+        placed = saved(several(labelled(lists, labels)), "placed")
+        # The first hub of a list is the one that shares most lists with others, further ones are drawn anew in each list.
+        order = F.col("popularity") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
+        hub = placed.groupBy("key").agg(F.max(F.struct(order.alias("o"), (-F.col("node")).alias("_n"), "size", "at", "component")).alias("h"))
+        hub = hub.select("key", (-F.col("h._n")).alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.at").alias("hub_at"), F.col("h.component").alias("hub_component"))
+        found = saved(confirmed(star(placed, hub, apart=True), sets), "confirmed")
+        if found.isEmpty():
+            break
+        turn += 1
+        links = links.union(found)
+        labels = components(links, labels)
+    found = saved(confirmed(crossed(placed), sets), "confirmed")
+    return labels if found.isEmpty() else components(links.union(found), labels)
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def several(placed: DataFrame) -> DataFrame:
+    """The members of keys that hold more than one component, with `members`, their number in the key."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    return placed.join(keys.select("key", "members"), "key")
+
+
+def rare_lists(sets: DataFrame) -> DataFrame:
+    """key (a shingle), node, size, at (its place in the node's order from rare to common) and popularity; shingles of one node alone
+    take their places and give no row."""
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    known = saved(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
+    ordered = each.join(known, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("common"))
+    placed = ordered.select("node", "size", F.size("common").alias("_c"), F.posexplode("common").alias("_p", "_s"))
+    placed = placed.select(F.col("_s.key").alias("key"), "node", "size", (F.col("size") - F.col("_c") + F.col("_p")).alias("at"), F.col("_s.n").alias("n"))
+    first = saved(placed.where((F.col("size") - F.col("at")) * 100 >= F.col("size") * PERCENT), "prefixes")
+    return first.join(first.groupBy("node").agg(F.sum("n").alias("popularity")), "node").select("key", "node", "size", "at", "popularity")
+
+
+def long_enough(size, at, other_size, other_at):
+    """Whether sets that share no shingle before these places can still be similar: what is left of the shorter holds the intersection."""
+    return F.least(F.col(size) - F.col(at), F.col(other_size) - F.col(other_at)) * (100 + PERCENT) >= (F.col(size) + F.col(other_size)) * PERCENT
+
+
+def sized(size, other_size):
+    return F.least(size, other_size) * 100 >= F.greatest(size, other_size) * PERCENT
+
+
 def star(members: DataFrame, hubs: DataFrame, apart: bool = False) -> DataFrame:
-    """Distinct pairs (hub, node) whose sizes allow the similarity; `apart`: only between components."""
+    """Distinct pairs (hub, node) whose sizes allow the similarity; `apart`: of lists, and only between components."""
     pairs = members.join(hubs, "key").where("node <> hub")
     if apart:
-        pairs = pairs.where("component <> hub_component")
-    sized = pairs.where(F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * PERCENT)
-    return sized.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        pairs = pairs.where("component <> hub_component").where(long_enough("size", "at", "hub_size", "hub_at"))
+    return pairs.where(sized("size", "hub_size")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def crossed(placed: DataFrame) -> DataFrame:
+    """All distinct pairs (a, b) that share a list, are of different components and may be similar. A list of more than BLOCK members
+    is cut into blocks, and each two blocks meet in a cell of their own, so no task holds a whole crowded list."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    cut = placed.select("key", "node", "size", "at", "component", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    x = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "size", "at", "component", "block")
+    y = x.select("key", "lo", "hi", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", "block")])
+    pairs = x.join(y, ["key", "lo", "hi"]).where("node < y_node AND component <> y_component AND (lo = hi OR block <> y_block)")
+    pairs = pairs.where(sized("size", "y_size")).where(long_enough("size", "at", "y_size", "y_at"))
+    return pairs.select(F.col("node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

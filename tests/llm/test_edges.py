@@ -128,6 +128,18 @@ def test_near_duplicates_are_brute_force(spark, docs):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 50])
+def test_near_duplicates_within_a_template(spark, monkeypatch, block):
+    """300 texts of one template, none similar to another, crowd every bucket that the one planted pair shares."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    template = " ".join(f"t{i}" for i in range(404))
+    texts = [f"{template} {' '.join(f'o{i}x{j}' for j in range(33 if i in (150, 151) else 48))}" for i in range(302)]
+    sets = [shingle_set(t) for t in texts]
+    assert [(i, k) for k in range(302) for i in range(k) if 100 * len(sets[i] & sets[k]) >= 85 * len(sets[i] | sets[k])] == [(150, 151)]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 150 if i == 151 else i for i in range(302)}
+
+
 def test_warc_round_trip(spark):
     page = "<p>" + "x" * 200
     data = [(1, "http://a/ b", page), (2, None, page), (3, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", "é" * 60), (6, "u", "é" * 60), (None, "u", page), (0, "http://z", page)]
