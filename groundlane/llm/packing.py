@@ -5,8 +5,10 @@ carried to the next sequence. With exact integer shares that carried deficit has
 k have given floor(w * 2048 * X_k / X) tokens, X_k being the running sum of the shares. So any task knows what any sequence holds,
 partitions need no order among them, and the deficits carry over partitions as over sequences. Only the last sequence is short.
 
-A queue is a source. Sources with less than `least` tokens a sequence share one queue, one after the other (with fewer than one
-token a sequence a queue's closed form would not be monotone), which also bounds the number of queues by 2048 / least.
+A queue is a source. Sources with less than `least` tokens a sequence share one queue (with fewer than one token a sequence a queue's
+closed form would not be monotone), which also bounds the number of queues by 2048 / least. The shared queue is dealt to its sources
+in proportion by halving: of its first p tokens the sources of the first half have floor(p * their share), the others the rest, and
+so on within each half. These counts are monotone for any share, so every source has its share of any run of sequences, within a few tokens.
 Shares are the sources' token counts, so that all queues end together, unless `targets` names others: those hold until the first
 queue would run out, and the rest is packed in proportion to what remains.
 
@@ -37,12 +39,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @dataclass
 class Phase:
-    """Sequences first .. first + count - 1. Per source: the range [low, high) of its tokens packed here, its queue, and where low
-    stands in that queue. `edges`: running sums of the queues' shares, from 0."""
+    """Sequences first .. first + count - 1. Per source: the range [low, high) of its tokens packed here, its queue, and its path of
+    (share of the first half, share of both, whether it is in the second) in a shared queue. `edges`: running sums of the queues'
+    shares, from 0."""
 
     first: int
     count: int
-    ranges: dict[str, tuple[int, int, int, int]]
+    ranges: dict[str, tuple[int, int, int, tuple[tuple[int, int, bool], ...]]]
     edges: list[int]
     tokens: int
 
@@ -50,6 +53,27 @@ class Phase:
         """Tokens that queues 0 .. k - 1 have given before sequence w of this phase."""
         return min(w * SIZE, self.tokens) * self.edges[k] // self.edges[-1]
 
+    def given(self, w: int, k: int, path: tuple[tuple[int, int, bool], ...]) -> tuple[int, int]:
+        """Before sequence w: tokens given by all that stands before a source, and by the source itself."""
+        before = self.taken(w, k)
+        n = self.taken(w, k + 1) - before
+        for part, both, second in path:
+            half = n * part // both
+            before, n = (before + half, n - half) if second else (before, half)
+        return before, n
+
+
+def paths(shares: dict[str, int]) -> dict[str, tuple[tuple[int, int, bool], ...]]:
+    """The path of each source in a queue shared in these proportions."""
+    if len(shares) == 1:
+        return dict.fromkeys(shares, ())
+    names, out = list(shares), {}
+    halves = [{s: shares[s] for s in x} for x in (names[: len(names) // 2], names[len(names) // 2 :])]
+    part, both = sum(halves[0].values()), sum(shares.values())
+    for second, half in enumerate(halves):
+        out |= {s: ((part, both, bool(second)), *path) for s, path in paths(half).items()}
+    return out
+
 
 def plan(totals: dict[str, int], targets: dict[str, float] | None = None, least: int = LEAST) -> list[Phase]:
     """The phases for the sources' token counts."""
@@ -66,7 +90,7 @@ def plan(totals: dict[str, int], targets: dict[str, float] | None = None, least:
                 phase = Phase(0, count, {}, edges, count * SIZE)
                 for k, s in enumerate(list(left)):
                     n = phase.taken(count, k + 1) - phase.taken(count, k)
-                    phase.ranges[s] = (0, n, k, 0)
+                    phase.ranges[s] = (0, n, k, ())
                     low[s], left[s] = n, left[s] - n
                 phases.append(phase)
                 first, left = count, {s: n for s, n in left.items() if n}
@@ -80,11 +104,8 @@ def plan(totals: dict[str, int], targets: dict[str, float] | None = None, least:
         small.append(s)
         tail += left[s]
     own = [s for s in left if s not in set(small)]
-    ranges = {s: (low[s], low[s] + left[s], k, 0) for k, s in enumerate(own)}
-    at = 0
-    for s in small:
-        ranges[s] = (low[s], low[s] + left[s], len(own), at)
-        at += left[s]
+    ranges = {s: (low[s], low[s] + left[s], k, ()) for k, s in enumerate(own)}
+    ranges |= {s: (low[s], low[s] + left[s], len(own), path) for s, path in (paths({s: left[s] for s in small}) if small else {}).items()}
     shares = [left[s] for s in own] + [tail] * bool(small)
     phases.append(Phase(first, -(-total // SIZE), ranges, [0, *np.cumsum(shares).tolist()], total))
     return phases
@@ -93,20 +114,25 @@ def plan(totals: dict[str, int], targets: dict[str, float] | None = None, least:
 def pieces(phases: list[Phase], source: str, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
     """Where the tokens [a, b) of a source go: (first token, length, sequence, offset there), in order."""
     for p in phases:
-        low, high, k, base = p.ranges.get(source, (0, 0, 0, 0))
+        low, high, k, path = p.ranges.get(source, (0, 0, 0, ()))
         x, end = max(a, low), min(b, high)
         if x >= end:
             continue
-        share = p.edges[k + 1] - p.edges[k]
-        shift = base - low  # from the source's tokens to the queue's
-        w = max(0, (x + shift) * p.edges[-1] // (share * SIZE) - 2)  # a little early; moved on below
-        given = lambda w: p.taken(w, k + 1) - p.taken(w, k)
+        given = lambda w: p.given(w, k, path)[1]
+        w, back = max(0, (x - low) * p.count // (high - low) - 2), 1  # a little early; moved below
+        while w and given(w) > x - low:
+            w, back = max(0, w - back), back * 2
         while x < end:
-            while given(w + 1) <= x + shift:
-                w += 1
-            n = min(end, given(w + 1) - shift) - x
-            before = p.taken(w + 1, k) - p.taken(w, k)  # what the queues before this one put into the sequence
-            yield x, n, p.first + w, before + x + shift - given(w)
+            step = 1
+            while given(w + step) <= x - low:
+                w, step = w + step, step * 2
+            last = w + step - 1
+            while w < last:
+                middle = (w + last) // 2
+                w, last = (w, middle) if given(middle + 1) > x - low else (middle + 1, last)
+            (before, done), (after, then) = p.given(w, k, path), p.given(w + 1, k, path)
+            n = min(end, then + low) - x
+            yield x, n, p.first + w, after - before + x - low - done  # what those before this one put into the sequence comes first
             x += n
 
 

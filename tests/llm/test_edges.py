@@ -245,6 +245,27 @@ def test_plan_covers_every_token_once(targets):
         assert all(abs(taken[s] / (2048 * phases[0].count) - v) < 0.001 for s, v in targets.items())
 
 
+@pytest.mark.parametrize("totals", [{f"s{i:02}": 20_480 for i in range(65)}, {"hot": 512_000, **{f"s{i:02}": 20_480 for i in range(50)}}, {"hot": 10**6, **{f"s{i:03}": i for i in range(1, 300)}}])
+def test_small_sources_keep_their_share_of_every_sequence(totals):
+    phases, taken, cells = packing.plan(totals), defaultdict(Counter), defaultdict(list)
+    for s, n in totals.items():
+        got = [x for a in range(0, n, 777) for x in packing.pieces(phases, s, a, min(n, a + 777))]
+        assert [x for x, *_ in got] == [sum(g[1] for g in got[:i]) for i in range(len(got))] and sum(g[1] for g in got) == n
+        for _, size, w, offset in got:
+            taken[s][w] += size
+            cells[w].append((offset, size))
+    total = sum(totals.values())
+    for w, found in cells.items():
+        found.sort()
+        assert [o for o, _ in found] == [sum(z for _, z in found[:i]) for i in range(len(found))]
+        assert sum(z for _, z in found) == min(2048, total - 2048 * w)
+    for s, n in totals.items():
+        at = 0
+        for w in range(max(cells)):
+            at += taken[s][w]
+            assert abs(at - n * 2048 * (w + 1) / total) < 4
+
+
 def test_token_shards(spark, docs):
     from tokenizers import Tokenizer
 
