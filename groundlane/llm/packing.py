@@ -10,7 +10,8 @@ closed form would not be monotone), which also bounds the number of queues by 20
 in proportion by halving: of its first p tokens the sources of the first half have floor(p * their share), the others the rest, and
 so on within each half. These counts are monotone for any share, so every source has its share of any run of sequences, within a few tokens.
 Shares are the sources' token counts, so that all queues end together, unless `targets` names others: those hold until the first
-queue would run out, and the rest is packed in proportion to what remains.
+queue would run out, and the rest is packed in proportion to what remains. A source's target that is missing or under `least`
+tokens a sequence is an error.
 
 A document's tokens are encoded where it is read, are never shuffled by source, and are cut at sequence borders. Within a source,
 documents stand in order of input partition and row; sums per (partition, source) place them.
@@ -79,21 +80,24 @@ def plan(totals: dict[str, int], targets: dict[str, float] | None = None, least:
     """The phases for the sources' token counts."""
     phases, left, low = [], {s: n for s, n in sorted(totals.items()) if n > 0}, dict.fromkeys(totals, 0)
     first = 0
-    if targets and len(left) > 1 and all(targets.get(s, 0) > 0 for s in left):
+    if targets and (lacking := [s for s in left if targets.get(s, 0) <= 0]):
+        raise ValueError(f"no target for {len(lacking)} sources, {lacking[0]!r} first")
+    if targets and len(left) > 1:
         parts = {s: max(1, round(targets[s] / sum(targets[x] for x in left) * 10**6)) for s in left}
-        if min(parts.values()) * SIZE >= least * sum(parts.values()):
-            edges = [0, *np.cumsum(list(parts.values())).tolist()]
-            count = min(left[s] * sum(parts.values()) // (parts[s] * SIZE) for s in left)
-            while count and any(((count * SIZE * edges[k + 1]) // edges[-1] - (count * SIZE * edges[k]) // edges[-1]) > left[s] for k, s in enumerate(left)):
-                count -= 1
-            if count:
-                phase = Phase(0, count, {}, edges, count * SIZE)
-                for k, s in enumerate(list(left)):
-                    n = phase.taken(count, k + 1) - phase.taken(count, k)
-                    phase.ranges[s] = (0, n, k, ())
-                    low[s], left[s] = n, left[s] - n
-                phases.append(phase)
-                first, left = count, {s: n for s, n in left.items() if n}
+        if min(parts.values()) * SIZE < least * sum(parts.values()):
+            raise ValueError(f"a target is under {least} tokens of a sequence of {SIZE}")
+        edges = [0, *np.cumsum(list(parts.values())).tolist()]
+        count = min(left[s] * sum(parts.values()) // (parts[s] * SIZE) for s in left)
+        while count and any(((count * SIZE * edges[k + 1]) // edges[-1] - (count * SIZE * edges[k]) // edges[-1]) > left[s] for k, s in enumerate(left)):
+            count -= 1
+        if count:
+            phase = Phase(0, count, {}, edges, count * SIZE)
+            for k, s in enumerate(list(left)):
+                n = phase.taken(count, k + 1) - phase.taken(count, k)
+                phase.ranges[s] = (0, n, k, ())
+                low[s], left[s] = n, left[s] - n
+            phases.append(phase)
+            first, left = count, {s: n for s, n in left.items() if n}
     total = sum(left.values())
     if not total:
         return phases

@@ -266,6 +266,12 @@ def test_small_sources_keep_their_share_of_every_sequence(totals):
             assert abs(at - n * 2048 * (w + 1) / total) < 4
 
 
+@pytest.mark.parametrize("targets", [{"a": 1.0}, {"a": 0.99, "b": 0.01}])
+def test_targets_that_cannot_be_met_are_an_error(targets):
+    with pytest.raises(ValueError):
+        packing.plan({"a": 70_000, "b": 9_000}, targets)
+
+
 def test_token_shards(spark, docs):
     from tokenizers import Tokenizer
 
