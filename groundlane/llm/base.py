@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,14 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a temporary folder becomes that directory only where the session names none."""
+    """A fresh path under spark.checkpoint.dir; where the session names none, under its warehouse, which executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="groundlane-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/groundlane/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,7 +33,35 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df once to the shared folder and reads it from there: later uses don't recompute it, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that saved() returned and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers that a broadcast may have.
+BROADCAST_ROWS = 500_000
+
+
+def light(narrow: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row as one side of a join: broadcast if it has at most BROADCAST_ROWS rows, which are
+    counted, else left to Spark's own choice."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
+def nested(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as a struct `row` beside the keys, so that no name in them can clash."""
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def unnested(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{n}`").alias(n) for n in rows.schema["row"].dataType.names])
 
 
 def alnum_words(text: Column) -> Column:
@@ -65,7 +91,7 @@ class WordHashes(dict):
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +107,7 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     size = min(size, n)
-    out = np.full(n - size + 1, size, np.uint64)
+    out, each = np.full(n - size + 1, size, np.uint64), mixed(ids)
     for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(ids[k : n - size + 1 + k])
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : n - size + 1 + k]
     return mixed(out)
