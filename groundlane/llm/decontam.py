@@ -4,20 +4,24 @@ The hashes of all 13-word windows of the benchmark (an item of fewer words is on
 windows of each document are looked up in it within one compiled stage, and only windows found there leave that stage, with their
 words. Equal words then confirm each hit and name the items.
 
-The set is broadcast only while it has at most MAX_SET hashes, which is counted first. Beyond that, window hashes are joined to the
-benchmark's by a shuffle of narrow rows, and the windows found take their words in a second reading. Both ways end in the same confirmation.
+The set is broadcast while it has at most MAX_SET hashes (about 100 MB), which is counted first. Beyond that, window hashes are joined
+to the benchmark's by a shuffle of narrow rows, and the windows found take their words in a second reading. Both ways end in the same
+confirmation. `filtered` removes documents, `without_spans` cuts the hit words out of them.
 Edge cases: null and empty texts have no words and no hits; empty tables give empty or clean results; repeated items count once
-per item_id; rows that share a doc_id are kept apart by their text, and equal rows get equal results; null item_ids are ignored.
+per item_id; rows that share a doc_id are kept apart by their text, and equal rows get equal results; null item_ids are ignored;
+other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import LEAD, N_WORDS, alnum_split, alnum_words, saved
+from .base import LEAD, N_WORDS, alnum_split, alnum_words, light, nested, saved, unnested
 
-SIZE, MAX_SET = 13, 1_000_000
+SIZE, MAX_SET = 13, 4_000_000
+#: A word in its original case with what stands before it, and what stands after the last word.
+PLACED, TAIL = r"[^0-9A-Za-z\P{ASCII}]*[0-9A-Za-z\P{ASCII}]+", r"[^0-9A-Za-z\P{ASCII}]*$"
 
 
 def window_hash(size: int) -> str:
@@ -55,42 +59,33 @@ def found_windows(docs: DataFrame, bench: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(hashes), "hash").select(*final)
     narrow = rows.where("i >= 0").select("doc_id", "text_hash", "i", "size", "hash").join(hashes, "hash", "left_semi").drop("hash").distinct()
     narrow = narrow.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    again = cut.join(narrow, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    again = cut.join(narrow, same_text())
     return cut.withColumns({"i": F.lit(-1), "size": F.lit(SIZE)}).select(*final).union(again.select(*final))
 
 
+def same_text() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids (sorted), spans (first word from 0 and length of each hit run) and contaminated."""
     bench = saved(benchmark_windows(items), "decontam-benchmark")
     rows = saved(found_windows(docs, bench), "decontam-windows")
     hits = rows.where("start IS NOT NULL").select("doc_id", "text_hash", "start", "size", "window").distinct()
     named = bench.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    small = bench.count() <= MAX_SET
-    true = hits.join(F.broadcast(named) if small else named, "window")
-    # Per document, the words hit are gathered as positions: their number is bounded by that document's length.
-    per = true.groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("start", "size"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids")
-    )
-    runs = F.aggregate(
-        "at",
-        F.expr("cast(array() as array<struct<first: int, end: int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], x["start"] + x["size"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("first"), (x["start"] + x["size"]).alias("end"))))),
-    )
-    per = per.select("doc_id", "text_hash", "item_ids", runs.alias("runs"))
-    per = per.select(
-        F.col("doc_id").alias("_d"),
-        F.col("text_hash").alias("_t"),
-        "item_ids",
-        F.transform("runs", lambda r: F.struct(r["first"].alias("first_word"), (r["end"] - r["first"]).alias("n_words"))).alias("spans"),
-        F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["first"])).alias("n_hit"),
+    true = hits.join(F.broadcast(named) if bench.count() <= MAX_SET else named, "window")
+    # A hit opens a run where no earlier one of its document reaches it.
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "size")
+    reached = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = true.withColumn("opens", F.coalesce((reached < F.col("start")).cast("int"), F.lit(1)))
+    runs = opened.withColumn("run", F.sum("opens").over(order)).groupBy("doc_id", "text_hash", "run")
+    runs = runs.agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("end"), F.flatten(F.collect_set("ids")).alias("ids"))
+    per = runs.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(
+        F.sum(F.col("end") - F.col("first")).cast("long").alias("n_hit"),
+        F.array_sort(F.collect_list(F.struct(F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),
     )
-    out = rows.where("start IS NULL").select("doc_id", "text_hash", "n_words").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+    out = rows.where("start IS NULL").select("doc_id", "text_hash", "n_words").join(per, same_text(), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
@@ -103,19 +98,27 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns.
+def keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows with doc_id and text_hash beside them."""
+    return nested(docs, doc_id=F.col("`doc_id`"), text_hash=F.xxhash64(F.col("`text`")))
+
 
-    What is removed is a small part, so the names of removed rows are what is joined; texts move only if those names are many.
-    """
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col("`doc_id`").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col("`text`")) == F.col("_hash")), "left_anti")
+def filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns. What is removed is a small part: texts move only if it has
+    more rows than may be broadcast."""
+    bad = saved(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
+    return unnested(keyed(docs).join(light(bad), same_text(), "left_anti"))
 
 
 def without_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and the words that remain when hit spans are cut out: for uses that keep contaminated documents."""
-    found = contamination(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "spans")
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("words"))
-    both = cut.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
-    left = F.filter("words", lambda w, i: ~F.exists(F.coalesce("spans", F.array().cast("array<struct<first_word: int, n_words: int>>")), lambda s: (i >= s["first_word"]) & (i < s["first_word"] + s["n_words"])))
-    return both.select("doc_id", F.array_join(left, " ").alias("text"))
+    """All documents with their own columns, the hit words cut out of their texts together with what stands before each: for uses that
+    keep contaminated documents. Other texts stay as they are."""
+    found = contamination(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "spans").distinct()
+    text = F.col("row.`text`")
+    both = keyed(docs).join(found, same_text(), "left").withColumn("words", F.when(F.col("spans").isNotNull(), F.regexp_extract_all(text, F.lit(PLACED), F.lit(0))))
+    # What stays: from the end of one span to the start of the next, the text's two ends included.
+    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["first_word"] + s["n_words"]))
+    starts = F.concat(F.transform("spans", lambda s: s["first_word"]), F.array(F.size("words")))
+    rest = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("words", a + 1, b - a)))
+    cut = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(rest, ""), F.regexp_extract(text, TAIL, 0)))
+    return both.select(*[(cut if n == "text" else F.col(f"row.`{n}`")).alias(n) for n in docs.columns])
