@@ -4,10 +4,14 @@ Script ranges narrow the candidates of each word to languages seen in that scrip
 counts that back off to letter trigrams; Viterbi with a switching penalty labels the words, so that mixed texts come out as spans.
 A document's language is the one with most letters, its score that share.
 
-Fitting uses at most `max_rows` labelled documents (smallest hashes of doc_id) and keeps at most `max_words` words.
+Fitting uses at most `max_rows` labelled documents (smallest hashes of doc_id, one text of each id and language). `max_words` bounds the model:
+each language keeps its most frequent words, max_words / number of languages of them, so that no language crowds another out; words
+beyond that are scored by their trigrams.
 Viterbi is exact on whole texts of any length: texts are cut into blocks, each block gives its best scores from every state to
 every state, and blocks are chained, which lets one array operation serve all blocks at once.
-Edge cases: null texts and texts without letters give `und`, score 0 and no spans, as does everything if nothing was learnt.
+Words are letters and the marks after them; digits and numerals of any script are none.
+Edge cases: null texts and texts without letters give `und`, score 0 and no spans, as does everything if nothing was learnt; repeated
+rows are predicted each; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +19,17 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import saved
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of Latin-1, where no marks stand; other texts need letters and marks by their categories.
+LATIN1, BEYOND = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+").findall, re.compile("[^\x00-\xff]").search
 MAX_ROWS, MAX_WORDS, PENALTY, BLOCK = 20_000, 200_000, 4.0, 64
 UND = "und"
 #: First and last code point of the main ranges of scripts; letters elsewhere are of the script "other".
@@ -38,6 +44,19 @@ SCRIPTS = (
 NAMES = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
 
 
+@lru_cache(maxsize=1)
+def letters_and_marks():
+    import regex
+
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased."""
+    text = text.lower()
+    return letters_and_marks()(text) if BEYOND(text) else LATIN1(text)
+
+
 def script(words: list[str]) -> np.ndarray:
     """The number of each word's script by its first letter: the place in NAMES."""
     c = np.array([ord(w[0]) for w in words], np.int64)
@@ -170,7 +189,7 @@ def labelled(model: Model):
     many = 2_000  # texts at a time
 
     def frame(texts: list[str | None]) -> pd.DataFrame:
-        cut = [WORD.findall(t.lower()) if t and langs else [] for t in texts]
+        cut = [words_of(t) if t and langs else [] for t in texts]
         words = [w for c in cut for w in c]
         rows: dict[str, int] = {}
         at = [rows.setdefault(w, len(rows)) for w in words]
@@ -213,18 +232,23 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -
     able = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = able.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # narrow rows, at most max_rows
     texts = able.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").where("text IS NOT NULL")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, t in zip(b["lang"], b["text"], strict=True):
-                n[lang].update(WORD.findall(t.lower()))
+                n[lang].update(words_of(t))
         yield pd.DataFrame([(a, w, k) for a, c in n.items() for w, k in c.items()], columns=["lang", "word", "n"])
 
     counts = texts.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = counts.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    counts = saved(counts, "language-counts")
+    quota = max_words // max(1, counts.select("lang").distinct().count())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    chosen = counts.withColumn("rank", rank).where(F.col("rank") <= quota).select("word").distinct()
+    kept = counts.join(chosen, "word").groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
     # At most max_words rows reach the driver, as Arrow columns: row objects would take many times their size.
-    found = saved(kept.orderBy(F.col("total").desc(), "word").limit(max_words), "language-words").toArrow()
+    found = saved(kept.orderBy("word"), "language-words").toArrow()
     by = found.column("by").combine_chunks()
     entries = by.flatten()
     names = entries.field("lang").to_pylist()
