@@ -1,16 +1,16 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector shared by all thresholds theta_0 < theta_1 < ..., so grades stay ordered.
-The prediction is the expected severity, the sum of those probabilities (0 to K - 1), and a document is toxic from `cut` on.
+The prediction is the expected severity, the sum of those probabilities (0 to the highest grade), and a document is toxic from CUT on.
 
 Features are whole words and their leading 4, 5 and 6 letters (inflected forms of a stem share them), with weight log(1 + count).
-They are chosen by how strongly they go with toxic labels; the labels are binary, so toxic training documents get grade 1, or
-grade 2 if they hold at least as many chosen features as the median toxic document.
+They are chosen by how strongly they go with toxic labels. Grades are the values of the label `toxic`, 0 (clean) to K: K thresholds
+are fitted, one where labels only say 0 or 1, and values that no document has are no steps of the scale.
 
-Fitting uses at most `max_rows` labelled documents (smallest hashes of doc_id), one per near-copy sketch, so that a large group of
-copies can't teach its incidental words. Prediction covers every document and its whole text.
-Edge cases: null and empty texts, and any text if no labels allow a fit, have severity 0; a doc_id with several labels counts as
-toxic if one says so; labels of unknown documents and null labels are ignored; repeated rows are scored each.
+Fitting uses at most `max_rows` labelled documents (smallest hashes of doc_id, one text of each id), one per near-copy sketch, so that
+a large group of copies can't teach its incidental words. Prediction covers every document and its whole text.
+Edge cases: null and empty texts, and any text if no labels allow a fit, have severity 0; a doc_id with several labels has the
+highest of them; labels of unknown documents and null labels are ignored; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -103,22 +103,24 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, n_featu
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows narrow rows: safe to broadcast
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.greatest(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("grade"))
+    # At most max_rows narrow rows: safe to broadcast.
+    chosen = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxicity-labels")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"sketch": [sketch(WORD.findall(t.lower())) for t in b["text"]], "toxic": b["toxic"], "doc_id": b["doc_id"], "text": b["text"]})
+            yield pd.DataFrame({"sketch": [sketch(WORD.findall(t.lower())) for t in b["text"]], "grade": b["grade"], "doc_id": b["doc_id"], "text": b["text"]})
 
-    sample = saved(texts.mapInPandas(sketched, "sketch long, toxic int, doc_id long, text string"), "toxicity-sample")
-    firsts = sample.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    sample = sample.join(F.broadcast(firsts), ["sketch", "toxic", "doc_id"]).select("toxic", "text")
+    sample = saved(texts.mapInPandas(sketched, "sketch long, grade int, doc_id long, text string"), "toxicity-sample")
+    firsts = sample.groupBy("sketch", "grade").agg(F.min("doc_id").alias("doc_id"))
+    sample = sample.join(F.broadcast(firsts), ["sketch", "grade", "doc_id"]).select("grade", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, list[int]] = {"": [0, 0]}
         for b in batches:
-            for t, y in zip(b["text"], b["toxic"], strict=True):
+            for t, y in zip(b["text"], (b["grade"] > 0).astype(int), strict=True):
                 n[""][y] += 1
                 for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)}:
                     n.setdefault(f, [0, 0])[y] += 1
@@ -138,20 +140,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, y in zip(b["text"], b["toxic"], strict=True):
+            for t, y in zip(b["text"], b["grade"], strict=True):
                 got: Counter = Counter()
                 for w, n in Counter(WORD.findall(t.lower())).items():
                     for f in features(w):
                         if f in number:
                             got[number[f]] += n
                 out.append((y, list(got), [float(np.log1p(n)) for n in got.values()]))
-            yield pd.DataFrame(out, columns=["toxic", "at", "value"])
+            yield pd.DataFrame(out, columns=["grade", "at", "value"])
 
-    rows = sorted((r["toxic"], list(r["at"]), list(r["value"])) for r in sample.mapInPandas(vectors, "toxic int, at array<int>, value array<double>").collect())  # max_rows short vectors
-    amount = [sum(v) for y, _, v in rows if y]
-    middle = max(float(np.median(amount)), 1e-9)
-    grades = np.array([0 if not y else 1 + (sum(v) >= middle) for y, _, v in rows])
-    w, theta = fit_ordinal([list(zip(a, v, strict=True)) for _, a, v in rows], grades, len(names), 3)
+    rows = sorted((r["grade"], list(r["at"]), list(r["value"])) for r in sample.mapInPandas(vectors, "grade int, at array<int>, value array<double>").collect())  # max_rows short vectors
+    steps = {g: k for k, g in enumerate(sorted({y for y, _, _ in rows}))}
+    grades = np.array([steps[y] for y, _, _ in rows])
+    w, theta = fit_ordinal([list(zip(a, v, strict=True)) for _, a, v in rows], grades, len(names), len(steps))
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, [float(t) for t in theta])
 
 
