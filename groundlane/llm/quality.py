@@ -4,7 +4,7 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 or an ablation is a bitwise pass over narrow rows and never reads a text again.
 
 Edge cases: a null or empty text has no words, all measurements are 0 and it fails `few_words`; repeated rows get one ledger row
-each; other columns of the input are ignored whatever their names.
+each; other columns of the input are ignored whatever their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import window_hashes
+from .base import nested, unnested, window_hashes
 
 WINDOW = 8
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -134,10 +134,8 @@ def passes(policy: Policy, bits: str = "fail_bits") -> Column:
 
 def filtered(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The documents that the policy keeps, with their own columns; one pass, no shuffle."""
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), _measures(F.col("`text`")).alias("m"))
-    kept = held.select("row", *ledger_columns("m")).where(f"({' OR '.join(f'({r.fails})' for r in RULES if r.name in policy.rules)}) IS NOT TRUE")
-    return kept.select(*[F.col(f"row.`{n}`").alias(n) for n in names])
+    rows = nested(docs, m=_measures(F.col("`text`"))).select("row", *ledger_columns("m")).withColumn("fail_bits", fail_bits())
+    return unnested(rows.where(passes(policy)))
 
 
 def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
