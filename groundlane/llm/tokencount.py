@@ -5,7 +5,8 @@ that only grows. Each call joins its digests to the cache, encodes one text per
 them to the documents.
 
 Normalised content is the text with null as empty; nothing else may be folded, as this would change counts. A copy group, however
-large, sends at most one text per input partition: rows shrink to their first text per digest before they move.
+large, sends at most one text per input partition: rows shrink to their first text per digest before they move. A cache path may be
+shared by any number of calls; the query opens a fresh one each time, so that its figures don't hang on what ran before.
 Edge cases: null and empty texts have 0 bytes and 0 tokens; an empty table gives an empty result; repeated rows are counted each.
 """
 
