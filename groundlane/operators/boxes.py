@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_even
@@ -28,6 +28,11 @@ def text(box: Column) -> Column:
     return F.concat(F.lit("<box> "), F.array_join(box.cast("array<string>"), " "), F.lit(" </box>"))
 
 
+def with_box_text(rows: DataFrame, box: str = "box") -> DataFrame:
+    """Rows of one box each, with its text as box_str."""
+    return rows.withColumn("box_str", text(F.col(box)))
+
+
 def texts(bbox: Column, w: Column | int = 1000, h: Column | int = 1000) -> Column:
     return F.transform(bbox, lambda b: text(scaled(b, w, h)))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import check_split_size
 from ..functions.columns import half_even, hash32, hash_order, last_segment
+from .tokens import rank_within
 
 REASONS = ("empty_query", "empty_bbox", "empty_answer", "len_mismatch", "missing_image")
 
@@ -44,8 +47,7 @@ def filter_stats(rows: DataFrame) -> DataFrame:
 def sampled_groups(rows: DataFrame, size: int | float, seed: int = 117, key: str = "image_key") -> DataFrame:
     """Exactly `size` (a count, or a fraction rounded half to even) of each dataset's distinct images, in the order of a seeded hash."""
     check_split_size(size)
-    w = Window.partitionBy("dataset")
-    ranked = rows.select("dataset", key).distinct().withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(hash_order(seed, key), key)))
+    ranked = rank_within(rows.select("dataset", key).distinct(), ["dataset"], hash_order(seed, key), key, size="n")
     wanted = F.lit(size) if isinstance(size, int) else half_even(F.col("n") * F.lit(size))
     return ranked.where(F.col("rank") <= wanted).select("dataset", key)
 
@@ -57,7 +59,8 @@ def group_split(rows: DataFrame, size: int | float, seed: int = 117, key: str =
 
 
 def capped(rows: DataFrame, most: int = 500, seed: int = 117, by: str = "dataset", key: str = "item_id") -> DataFrame:
-    """At most `most` rows of each dataset, in the order of a seeded hash; the rest is dropped, as the cap of a validation set."""
+    """At most `most` rows of each dataset, in the order of a seeded hash; the rest is dropped, as the cap of a validation set.
+    Every task drops what is beyond its own first `most` before rows move."""
     w = Window.partitionBy(by).orderBy(hash_order(seed, key), key)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
@@ -66,11 +69,15 @@ def prepared(judged_rows: DataFrame, own: float = 0.99, carved: float = 0.2, see
     """final_split: a dataset that has a val split (before filtering) keeps `own` of its val images and drops the others, another
     gives `carved` of its train images to val."""
     has_val = judged_rows.groupBy("dataset").agg(F.max(F.col("split") == "val").alias("has_val"))
-    rows = judged_rows.where("reject_reason IS NULL").join(F.broadcast(has_val), "dataset")
-    mine = group_split(rows.where("has_val AND split = 'val'"), own, seed).withColumn("final_split", F.when(F.col("chosen"), "val").otherwise("dropped"))
-    carve = group_split(rows.where("NOT has_val AND split = 'train'"), carved, seed).withColumn("final_split", F.when(F.col("chosen"), "val").otherwise("train"))
-    same = rows.where("has_val AND split = 'train'").withColumns({"chosen": F.lit(False), "final_split": F.lit("train")})
-    return mine.unionByName(carve).unionByName(same).drop("has_val", "chosen")
+    rows = judged_rows.where("reject_reason IS NULL").join(has_val, "dataset")
+    # A dataset's images are drawn from one of its splits alone, so one ranking serves both rules.
+    pool = F.col("split") == F.when(F.col("has_val"), "val").otherwise("train")
+    ranked = rank_within(rows.where(pool).select("dataset", "image_key", "has_val").distinct(), ["dataset"], hash_order(seed, "image_key"), "image_key", size="n")
+    share = F.when(F.col("has_val"), F.lit(own)).otherwise(F.lit(carved))
+    picked = ranked.where(F.col("rank") <= half_even(F.col("n") * share)).select("dataset", "image_key", F.lit(True).alias("_picked"))
+    chosen = pool & F.coalesce("_picked", F.lit(False))
+    final = F.when(chosen, "val").when(F.col("has_val") & pool, "dropped").otherwise("train")
+    return rows.join(picked, ["dataset", "image_key"], "left").withColumn("final_split", final).drop("has_val", "_picked")
 
 
 def require_rows(rows: DataFrame, what: str) -> DataFrame:
@@ -79,11 +86,19 @@ def require_rows(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
+def checked_splits(train: DataFrame, val: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training can't start without rows to train on, and only warns where there are none to validate on."""
+    require_rows(train, "the training set")
+    if val.isEmpty():
+        warnings.warn("the validation set is empty", stacklevel=2)
+    return train, val
+
+
 def negatives(rows: DataFrame, seed: int = 658) -> DataFrame:
-    """For rows of a negative polarity, another image of the same split: the one a seeded number of places further in the split's
-    image order. Every image but the own one can be met; a split of one image has none, and gives null."""
-    w = Window.partitionBy("dataset", "split")
-    order = rows.select("dataset", "split", "image_key").distinct().withColumn("place", F.row_number().over(w.orderBy("image_key")) - 1).withColumn("n", F.count("*").over(w))
+    """For rows of a negative polarity, another image of the same split: the one a seeded number of places further in a seeded
+    order of the split's images. Every image but the own one can be met; a split of one image has none, and gives null."""
+    images = rows.select("dataset", "split", "image_key").distinct()
+    order = rank_within(images, ["dataset", "split"], hash_order(seed, "image_key"), "image_key", "place", size="n").withColumn("place", F.col("place") - 1)
     at = rows.join(order, ["dataset", "split", "image_key"]).withColumn("swap_to", F.when(F.col("n") > 1, (F.col("place") + 1 + hash32(seed, "item_id") % F.greatest(F.col("n") - 1, F.lit(1))) % F.col("n")))
     other = order.select("dataset", "split", F.col("place").alias("swap_to"), F.col("image_key").alias("swapped"))
     return at.join(other, ["dataset", "split", "swap_to"], "left").drop("place", "n", "swap_to")

@@ -11,20 +11,19 @@ from . import boxes
 NAMES = ("answerBox", "boxFromAnswer", "box")
 
 #: Prompt texts.
-_AGENT = "You are an agent excellent at identifying evidence in a document page."
-_ANSWER_BOX = f"""{_AGENT}
+_ANSWER_BOX = """You are an agent excellent at identifying evidence in a document page.
 Your job is to answer the user's query based on the provided image and the context.
 When you answer, provide evidence bounding boxes in the format <box> x1 y1 x2 y2 </box>.
 Add an evidence bounding box at the end of each generated sentence.
 
 If you cannot find the answer, respond with "I don't know"."""
-_BOX_FROM_ANSWER = f"""{_AGENT}
+_BOX_FROM_ANSWER = """You are an agent excellent at identifying evidence in a document page.
 Your job is to identify the answer contained in the user's input based on the provided image and the context.
 Respond by providing the evidence bounding boxes in the format <box> x1 y1 x2 y2 </box>.
 The input is constituted by the user query and the answer to that query.
 
 If you cannot find the answer, respond with the empty box <box> </box>."""
-_BOX = f"""{_AGENT}
+_BOX = """You are an agent excellent at identifying evidence in a document page.
 Your job is to locate the answer to the user's query based on the provided image and the context.
 Respond by providing the evidence bounding boxes in the format <box> x1 y1 x2 y2 </box>.
 

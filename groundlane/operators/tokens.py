@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import RunSettings
 from ..functions.columns import hash_order
 
 IGNORED = -100
@@ -13,11 +14,19 @@ IGNORED = -100
 def global_rank(rows: DataFrame, order: Column, ties: str, name: str = "rank", digits: int = 4) -> DataFrame:
     """1, 2, ... over all rows in the order of a hex hash, without one task that sees all rows: rows are ranked within the first hex
     digits of the hash, and the at most 16 ** digits counts of those groups are summed up before them."""
+    one = rows.withColumn("_all", F.lit(0))
+    return rank_within(one, ["_all"], order, ties, name, digits=digits).drop("_all")
+
+
+def rank_within(rows: DataFrame, within: list[str], order: Column, ties: str, name: str = "rank", size: str | None = None, digits: int = 4) -> DataFrame:
+    """The same within each value of some columns, however few values they have; `size` names a column for the rows of that value."""
     held = rows.withColumn("_o", order).withColumn("_g", F.substring("_o", 1, digits))
-    sizes = held.groupBy("_g").agg(F.count("*").alias("_n"))
-    before = sizes.select("_g", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    placed = held.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_o", ties)))
-    return placed.join(F.broadcast(before), "_g").withColumn(name, F.col("_r") + F.col("_b")).drop("_o", "_g", "_r", "_b")
+    sizes = held.groupBy(*within, "_g").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*within)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sizes.select(*within, "_g", before.alias("_b"), F.sum("_n").over(whole).alias(size or "_s"))
+    placed = held.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_g").orderBy("_o", ties)))
+    return placed.join(sums, [*within, "_g"]).withColumn(name, F.col("_r") + F.col("_b")).drop("_o", "_g", "_r", "_b", "_s")
 
 
 def epoch_order(rows: DataFrame, seed: int, key: str) -> DataFrame:
@@ -28,6 +37,11 @@ def batches(ranked: DataFrame, size: int) -> DataFrame:
     return ranked.withColumn("batch_id", F.floor((F.col("rank") - 1) / size))
 
 
+def epoch(rows: DataFrame, settings: RunSettings, key: str, global_step: int = 0) -> DataFrame:
+    """The batches of an epoch as a run's settings order and cut them, from a global step on."""
+    return resumed(batches(epoch_order(rows, settings.dataloader_seed, key), settings.batch_size), global_step, settings.batch_size)
+
+
 def resumed(ranked: DataFrame, global_step: int, batch_size: int) -> DataFrame:
     """What is left of an epoch after `global_step` batches: the same order, its first rows skipped."""
     return ranked.where(F.col("rank") > global_step * batch_size)
@@ -58,6 +72,8 @@ def masked_padding(labels: Column, attention: Column) -> Column:
     return F.zip_with(labels, attention, lambda x, a: F.when(a == 0, F.lit(IGNORED).cast("bigint")).otherwise(x))
 
 
-def batch_flags(patches: DataFrame) -> DataFrame:
-    """Per batch, one flag of 1 for each image patch of its rows."""
-    return patches.groupBy("batch_id").agg(F.sum("patches").alias("n")).withColumn("image_flags", F.array_repeat(F.lit(1), F.col("n").cast("int")))
+def batch_patches(rows: DataFrame) -> DataFrame:
+    """Per batch, the image patches of its rows one after the other in the order of `rank`, and one flag of 1 for each."""
+    per = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rank", "patches"))).alias("_p"))
+    patches = F.flatten(F.transform("_p", lambda p: p["patches"]))
+    return per.select("batch_id", patches.alias("patches"), F.transform(patches, lambda p: F.lit(1)).alias("image_flags"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,15 @@ def latest_checkpoint(listing: DataFrame) -> DataFrame:
 
 
 def retention(listing: DataFrame, keep: int = 2) -> DataFrame:
-    """path, step and whether the checkpoint is among the newest `keep`. A listing is one folder's and so is small."""
-    rows = listing.select("path", checkpoint_step(F.col("path")).alias("step"))
-    return rows.withColumn("keep", F.row_number().over(Window.orderBy(F.col("step").desc(), "path")) <= keep)
+    """path, step and whether it stays: of the state files chkp_*.pt the newest `keep`, and of the adapter folders all but those that
+    stand beside a state file that goes. Other paths stay."""
+    named = listing.select("path", checkpoint_step(F.col("path")).alias("step"), F.substring_index("path", "/", -1).alias("_name"))
+    rows = named.withColumn("_state", F.col("_name").rlike(r"^chkp_.*\.pt$"))
+    newest = rows.where("_state").orderBy(F.col("step").desc(), "path").limit(keep).select("path", F.lit(True).alias("_new"))
+    rows = rows.join(F.broadcast(newest), "path", "left")  # `keep` rows
+    gone = rows.where("_state AND _new IS NULL AND step >= 0").select(F.concat(F.lit("peft_chkp_"), F.col("step").cast("string")).alias("_name"), F.lit(True).alias("_gone")).distinct()
+    stays = F.when(F.col("_state"), F.coalesce("_new", F.lit(False))).otherwise(F.col("_gone").isNull())
+    return rows.join(gone, "_name", "left").select("path", "step", stays.alias("keep"))
 
 
 def parameter_totals(parameters: DataFrame) -> DataFrame:
@@ -57,10 +63,11 @@ def parameter_totals(parameters: DataFrame) -> DataFrame:
     return parameters.agg(total.alias("total"), tuned.alias("trainable"), F.round(F.try_divide(100.0 * tuned, total), 3).alias("percent"))
 
 
-def low_rank_merge(weights: DataFrame, a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
-    """W + scale * B A over coordinates: weights (i, j, w), b (i, k, v), a (k, j, v)."""
-    product = b.select("i", "k", F.col("v").alias("x")).join(a.select("k", "j", F.col("v").alias("y")), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    return weights.join(product, ["i", "j"], "full").select("i", "j", (F.coalesce("w", F.lit(0.0)) + scale * F.coalesce("p", F.lit(0.0))).alias("w"))
+def low_rank_merge(weights: DataFrame, a: DataFrame, b: DataFrame, scale: float, layer: str = "layer") -> DataFrame:
+    """W + scale * B A of each layer over coordinates: weights (layer, i, j, w), b (layer, i, k, v), a (layer, k, j, v)."""
+    pairs = b.select(layer, "i", "k", F.col("v").alias("x")).join(a.select(layer, "k", "j", F.col("v").alias("y")), [layer, "k"])
+    product = pairs.groupBy(layer, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    return weights.join(product, [layer, "i", "j"], "full").select(layer, "i", "j", (F.coalesce("w", F.lit(0.0)) + scale * F.coalesce("p", F.lit(0.0))).alias("w"))
 
 
 #: Families by a part of the name, and the base models that can be merged.

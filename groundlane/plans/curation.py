@@ -151,7 +151,7 @@ SQL = {
       QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5('117|' || item_id), item_id) <= 500""",
     "q10_val99_split": f"WITH {ITEMS}, {PREPARED} SELECT dataset, final_split, count(DISTINCT image_key) AS n_images, count(*) AS n_rows FROM prepared WHERE split = 'val' GROUP BY dataset, final_split",
     "q11_negative_swap": f"""WITH {ITEMS}, {ASSIGNED.format(share=int(0.2 * 2**32), source="kept")},
-      place AS (SELECT dataset, split, image_key, row_number() OVER (PARTITION BY dataset, split ORDER BY image_key) - 1 AS place, count(*) OVER (PARTITION BY dataset, split) AS n
+      place AS (SELECT dataset, split, image_key, row_number() OVER (PARTITION BY dataset, split ORDER BY md5('658|' || image_key), image_key) - 1 AS place, count(*) OVER (PARTITION BY dataset, split) AS n
         FROM (SELECT DISTINCT dataset, split, image_key FROM kept)),
       turned AS (SELECT a.*, CASE WHEN n > 1 THEN (place + 1 + {HASH.format("'658|' || item_id")} % greatest(n - 1, 1)) % n END AS swap_to FROM assigned a JOIN place USING (dataset, split, image_key))
       SELECT item_id, template || '|' || polarity AS tag, CASE WHEN polarity = 'negative' THEN coalesce(o.image_key, t.image_key) ELSE t.image_key END AS image_key

@@ -39,6 +39,12 @@ def q27_pad_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", F.size("ids").cast("bigint").alias("n"), *[F.md5(_joined(c)).alias(f"{c}_md5") for c in ("ids", "attention", "labels")])
 
 
+def q27b_batch_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in patches: the first three tokens of each row."""
+    out = tokens.batch_patches(_order(spark, sf_dir).withColumn("patches", F.slice("ids", 1, 3)))
+    return out.select("batch_id", F.md5(_joined("patches")).alias("patches_md5"), F.size("image_flags").cast("bigint").alias("n_flags"))
+
+
 def q28_resume_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.resumed(_order(spark, sf_dir), 10, BATCH).select("row_id", F.col("rank").cast("bigint").alias("rank"))
 
@@ -79,21 +85,21 @@ def q33_val_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q34_lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = bindings.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))
     n_batches, n_steps = training.step_counts(F.col("n"), BATCH, 1, 8)
-    total = n.select(n_batches.alias("n_batches"), n_steps.alias("n_steps"))
-    steps = total.select("n_batches", "n_steps", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_steps"))).alias("step"))
-    done = (F.col("step") - 25) / F.greatest(F.col("n_steps") - 25, F.lit(1))
-    lr = F.when(F.col("step") < 25, training.learning_rate(F.col("step"), 1e-4, 25, 26)).otherwise(1e-4 * F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.pi() * done))))
-    return steps.select("step", "n_batches", F.round(lr, 10).alias("lr"))
+    total = n.select(n_batches.alias("n_batches"), n_steps.alias("n_steps")).first()
+    steps = spark.range(total["n_steps"] + 1).withColumnRenamed("id", "step")
+    return steps.select("step", F.lit(total["n_batches"]).alias("n_batches"), F.round(training.learning_rate(F.col("step"), 1e-4, 25, total["n_steps"]), 10).alias("lr"))
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = bindings.table(spark, sf_dir, "events").where("event_id % 400 = 0").select(F.expr("concat('peft_chkp_', event_id)").alias("path"))
+    """A state file and an adapter folder for each event, and the state file of the latest step."""
+    paths = bindings.table(spark, sf_dir, "events").selectExpr("explode(array(concat('chkp_', event_id, '.pt'), concat('peft_chkp_', event_id))) AS path")
     return paths.union(spark.range(1).select(F.lit("chkp_latest.pt").alias("path")))
 
 
 def q35_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = _listing(spark, sf_dir)
-    return training.retention(listing).join(F.broadcast(training.latest_checkpoint(listing).select(F.col("path").alias("latest"))))
+    latest = training.latest_checkpoint(listing.where("path LIKE 'peft%'")).select(F.col("path").alias("latest"))
+    return training.retention(listing).withColumn("latest", F.lit(latest.first()["latest"]))
 
 
 def q36_param_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +108,17 @@ def q36_param_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q37_low_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank 4: the first four vectors are A, the next four the transposed B; W is zero."""
-    v = bindings.table(spark, sf_dir, "embeddings").where("vec_id < 8").select("vec_id", F.posexplode("embedding").alias("c", "v")).withColumn("v", F.col("v").cast("double"))
-    a = v.where("vec_id < 4").select(F.col("vec_id").alias("k"), F.col("c").alias("j"), "v")
-    b = v.where("vec_id >= 4").select((F.col("vec_id") - 4).alias("k"), F.col("c").alias("i"), "v")
-    w = v.sparkSession.range(0).select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("w"))
-    return training.low_rank_merge(w, a, b, 2.0).select("i", "j", F.round(F.col("w") + 0.0, 5).alias("w"))
+    """Rank 4: of each eight vectors, which are a layer, four are A and four the transposed B; W is a pattern. Per row of the merged
+    matrices, the sum of its weights and the largest."""
+    layer, part = F.floor(F.col("vec_id") / 8).alias("layer"), F.col("vec_id") % 8
+    vectors = bindings.table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
+    v = vectors.select(layer, part.alias("part"), F.posexplode("embedding").alias("c", "v")).withColumn("v", F.col("v").cast("double"))
+    a = v.where("part < 4").select("layer", F.col("part").alias("k"), F.col("c").alias("j"), "v")
+    b = v.where("part >= 4").select("layer", (F.col("part") - 4).alias("k"), F.col("c").alias("i"), "v")
+    w = vectors.where("vec_id % 8 = 0").select(layer, F.size("embedding").alias("n"), F.posexplode("embedding").alias("i", "_"))
+    w = w.select("layer", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).withColumn("w", F.expr("((i * 31 + j * 17) % 7 - 3) / 10D"))
+    rows = training.low_rank_merge(w, a, b, 2.0).groupBy("layer", "i")
+    return rows.agg(F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 5).alias("largest"))
 
 
 def q38_model_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +141,7 @@ SQL = {
       SELECT row_id, CAST(n AS BIGINT) AS n, md5(array_to_string(ids || list_transform(range(n - len(ids)), lambda x: 0), ' ')) AS ids_md5,
         md5(array_to_string(list_transform(ids, lambda x: 1) || list_transform(range(n - len(ids)), lambda x: 0), ' ')) AS attention_md5,
         md5(array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= 2 THEN -100 ELSE x END) || list_transform(range(n - len(ids)), lambda x: -100), ' ')) AS labels_md5 FROM m""",
+    "q27b_batch_patches": f"WITH {TURN} SELECT batch_id, md5(array_to_string(flatten(list(ids[1:3] ORDER BY rank)), ' ')) AS patches_md5, CAST(sum(len(ids[1:3])) AS BIGINT) AS n_flags FROM batch GROUP BY batch_id",
     "q28_resume_suffix": f"WITH {TURN} SELECT row_id, rank FROM batch WHERE rank > 40",
     "q30_batch_loss_log": f"WITH {LOG} SELECT global_step, batch_idx, loss FROM log",
     "q31_virtual_batch_loss": f"WITH {LOG} SELECT batch_idx // 8 AS block, round(sum(loss / 4), 6) AS loss FROM log GROUP BY block HAVING count(*) = 8",
@@ -138,13 +150,18 @@ SQL = {
     "q33_val_loss": "SELECT round(avg(l), 6) AS val_loss, count(*) AS n_batches FROM (SELECT event_id // 3 AS b, avg(value) AS l FROM events GROUP BY b)",
     "q34_lr_schedule": """WITH n AS (SELECT count(*) // 4 AS n_batches, count(*) // 4 // 8 AS n_steps FROM orders), s AS (SELECT n_batches, n_steps, unnest(range(n_steps + 1)) AS step FROM n)
       SELECT step, n_batches, round(CASE WHEN step < 25 THEN 1e-4 * step / 25 ELSE 1e-4 * greatest(0, 0.5 * (1 + cos(pi() * (step - 25) / greatest(n_steps - 25, 1)))) END, 10) AS lr FROM s""",
-    "q35_checkpoints": """WITH l AS (SELECT 'peft_chkp_' || event_id AS path FROM events WHERE event_id % 400 = 0 UNION ALL SELECT 'chkp_latest.pt'),
-      s AS (SELECT path, coalesce(TRY_CAST(replace(string_split(path, '_')[-1], '.pt', '') AS BIGINT), -1) AS step FROM l)
-      SELECT path, step, row_number() OVER (ORDER BY step DESC, path) <= 2 AS keep, (SELECT arg_max(path, step) FROM s) AS latest FROM s""",
+    "q35_checkpoints": """WITH l AS (SELECT 'peft_chkp_' || event_id AS path FROM events UNION ALL SELECT 'chkp_' || event_id || '.pt' FROM events UNION ALL SELECT 'chkp_latest.pt'),
+      s AS (SELECT path, coalesce(TRY_CAST(replace(string_split(path, '_')[-1], '.pt', '') AS BIGINT), -1) AS step FROM l),
+      state AS (SELECT path, step, row_number() OVER (ORDER BY step DESC, path) <= 2 AS keep FROM s WHERE path LIKE 'chkp%.pt')
+      SELECT path, step, keep, (SELECT max_by(path, step) FROM s WHERE path LIKE 'peft%') AS latest FROM (SELECT * FROM state UNION ALL
+        SELECT s.path, s.step, coalesce(state.keep, true) AS keep FROM s LEFT JOIN state USING (step) WHERE s.path LIKE 'peft%')""",
     "q36_param_totals": """SELECT CAST(sum(p_size) AS BIGINT) AS total, CAST(coalesce(sum(p_size) FILTER (p_type = 'PROMO'), 0) AS BIGINT) AS trainable,
       round(100.0::DOUBLE * coalesce(sum(p_size) FILTER (p_type = 'PROMO'), 0) / sum(p_size), 3) AS percent FROM part""",
-    "q37_low_rank_merge": """WITH v AS (SELECT vec_id, unnest(range(len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 8)
-      SELECT CAST(b.c AS INTEGER) AS i, CAST(a.c AS INTEGER) AS j, round(2.0::DOUBLE * sum(a.v * b.v) + 0.0, 5) AS w FROM v a JOIN v b ON a.vec_id + 4 = b.vec_id WHERE a.vec_id < 4 GROUP BY b.c, a.c""",
+    "q37_low_rank_merge": """WITH v AS (SELECT vec_id, vec_id // 8 AS layer, vec_id % 8 AS part, unnest(range(len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+      w AS (SELECT layer, c AS i, unnest(range(n)) AS j FROM (SELECT layer, c, max(c) OVER (PARTITION BY layer) + 1 AS n FROM v WHERE part = 0)),
+      p AS (SELECT a.layer, b.c AS i, a.c AS j, sum(a.v * b.v) AS p FROM v a JOIN v b ON a.vec_id + 4 = b.vec_id WHERE a.part < 4 GROUP BY ALL),
+      m AS (SELECT layer, i, j, ((i * 31 + j * 17) % 7 - 3) / 10::DOUBLE + 2.0::DOUBLE * coalesce(p, 0) AS w FROM w LEFT JOIN p USING (layer, i, j))
+      SELECT layer, CAST(i AS INTEGER) AS i, round(sum(w), 4) AS total, round(max(w), 5) AS largest FROM m GROUP BY layer, i""",
     "q38_model_dispatch": """WITH p AS (SELECT p_partkey, ['models/Qwen2.5-VL-7B-Instruct', 'models/Qwen3-VL-8B-Instruct', 'models/InternVL3_5-8B-Instruct', 'models/Qwen2-VL-7B-Instruct', 'models/QWEN2.5-other'][p_partkey % 5 + 1] AS model FROM part)
       SELECT p_partkey, CASE WHEN contains(lower(model), 'qwen2.5') THEN 'qwen2.5' WHEN contains(lower(model), 'qwen3') THEN 'qwen3' ELSE 'error' END AS family,
         string_split(model, '/')[-1] IN ('Qwen2-VL-6B-Instruct', 'Qwen2.5-VL-7B-Instruct', 'Qwen3-VL-8B-Instruct', 'InternVL3_5-8B-Instruct') AS mergeable FROM p""",

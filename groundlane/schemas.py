@@ -7,4 +7,3 @@ TRAINER_STATE = (
     "global_step bigint, virtual_batch_counter bigint, best_val_loss double, use_peft boolean, "
     "lora_config struct<r: int, lora_alpha: double, lora_dropout: double, bias: string, target_modules: array<string>, modules_to_save: array<string>>"
 )
-PARAMETERS = "name string, numel bigint, trainable boolean"

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 
 
 def batch_losses(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of the batch_loss records that are appended under `path`."""
+    """A stream of the batch_loss records that are appended under `path`; `written` is when their file was."""
     lines = spark.readStream.schema(schemas.METRIC).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return lines.where("type = 'batch_loss'").select("global_step", "batch_idx", "loss")
+    return lines.where("type = 'batch_loss'").select("global_step", "batch_idx", "loss", F.col("_metadata.file_modification_time").alias("written"))
+
+
+def rolling_blocks(stream: DataFrame, accumulation: int, batch_size: int, idle_seconds: int = 3600) -> DataFrame:
+    """(block, loss) whenever a block is full and has changed, for update mode. Of a step that a resumed run wrote again, the record
+    of the later file counts, as in the batch query. The state of a block is its steps, `accumulation` at most, and goes once the log is
+    twice `idle_seconds` past the block's last record; a step that comes still later opens its block anew."""
 
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {s: (at, x) for s, at, x in zip(*state.get, strict=True)} if state.exists else {}
+        before = dict(held)
+        for f in frames:
+            for step, at, loss in zip(f["global_step"].tolist(), f["at"].tolist(), f["loss"].tolist(), strict=True):
+                if step not in held or held[step][0] <= at:
+                    held[step] = (at, loss)
+        steps = sorted(held)
+        state.update((steps, [held[s][0] for s in steps], [held[s][1] for s in steps]))
+        state.setTimeoutTimestamp(max(at for at, _ in held.values()) + 2000 * idle_seconds)
+        if len(held) == accumulation and held != before:
+            yield pd.DataFrame({"block": [key[0]], "loss": [sum(x / batch_size for _, x in held.values())]})
 
-def rolling_blocks(stream: DataFrame, accumulation: int, batch_size: int) -> DataFrame:
-    """Losses by block as they fill (for update or complete mode); only full blocks are shown. Steps that a resumed run wrote again
-    replace nothing here: each step counts once, by its first record."""
-    once = stream.dropDuplicates(["global_step"])
-    blocks = once.groupBy(F.floor(F.col("batch_idx") / accumulation).alias("block")).agg(F.sum(F.col("loss") / batch_size).alias("loss"), F.count("*").alias("n"))
-    return blocks.where(F.col("n") == accumulation)
+    timed = stream.withWatermark("written", f"{idle_seconds} seconds").withColumn("at", F.unix_millis("written"))
+    blocks = timed.withColumn("block", F.floor(F.col("batch_idx") / accumulation)).groupBy("block")
+    state = "steps array<long>, written array<long>, losses array<double>"
+    return blocks.applyInPandasWithState(update, "block long, loss double", state, "update", GroupStateTimeout.EventTimeTimeout)

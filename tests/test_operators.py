@@ -1,9 +1,11 @@
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from groundlane.config import RunSettings, check_split_size
+from groundlane import logs
+from groundlane.config import MergeSettings, RunSettings, check_split_size, parsed
 from groundlane.functions.columns import half_even, list_repr
 from groundlane.operators import boxes, curate, geometry, templates, tokens, training
 
@@ -76,41 +78,34 @@ def test_templates_leave_braces_and_later_images_alone(spark):
     assert one(spark, templates.is_negative(F.lit("box|negative"))) and not one(spark, templates.is_negative(F.lit("neg|positive")))
 
 
-def by_hand_28(w, h, size, lo, hi):
-    grid = lambda x, f: f(x / 28) * 28
-    sides = [grid(int(x * (size / max(w, h))), math.floor) for x in (w, h)]
-    pixels = sides[0] * sides[1]
-    if pixels > hi:
-        sides = [grid(x * math.sqrt(hi / pixels), math.floor) for x in sides]
-    if pixels < lo:
-        sides = [grid(x * math.sqrt(lo / pixels), math.ceil) for x in sides] if pixels else [None, None]
-    return sides
+#: Worked out with pencil: sides after scaling to 1024, cut to 28s, and what the pixel limits make of them.
+RESIZED = [
+    (640, 480, 3136, 10**7, [1008, 756]), (100, 3000, 3136, 10**7, [28, 1008]), (2000, 1900, 3136, 500_000, [700, 672]),
+    (900, 30, 40_000, 10**7, [1204, 56]), (10_000, 100, 3136, 10**7, [None, None]),
+]
 
 
-@pytest.mark.parametrize(("w", "h", "lo", "hi"), [(640, 480, 3136, 10**7), (100, 3000, 3136, 10**7), (2000, 1900, 3136, 500_000), (900, 30, 40_000, 10**7), (10_000, 100, 3136, 10**7)])
-def test_resize(spark, w, h, lo, hi):
+@pytest.mark.parametrize(("w", "h", "lo", "hi", "want"), RESIZED)
+def test_resize(spark, w, h, lo, hi, want):
     a, b = geometry.resized_28(F.col("w"), F.col("h"), F.lit(1024), lo, hi)
     got = spark.createDataFrame([(w, h)], "w int, h int").select(a.alias("a"), b.alias("b")).first()
-    assert [got["a"], got["b"]] == by_hand_28(w, h, 1024, lo, hi)
+    assert [got["a"], got["b"]] == want
 
 
-def by_hand_grid(w, h, side=448):
-    best, least = (1, 1), float("inf")
-    for i, j in sorted(geometry.grids(), key=lambda g: g[0] * g[1]):
-        d = abs(w / h - i / j)
-        if d < least:
-            best, least = (i, j), d
-        elif d == least and w * h > 0.5 * side * side * i * j:
-            best = (i, j)
-    return best
+def nearest_grid(w, h):
+    """Of the grids whose exact ratio is nearest, the largest that the image fills by more than half, else the smallest."""
+    ratio = lambda g: abs(Fraction(w, h) - Fraction(*g))
+    least = min(map(ratio, geometry.grids()))
+    near = sorted((g for g in geometry.grids() if ratio(g) == least), key=math.prod)
+    return max((g for g in near if 2 * w * h > 448 * 448 * math.prod(g)), key=math.prod, default=near[0])
 
 
 def test_grid_and_crops(spark):
     sizes = [(w, h) for w in (50, 300, 448, 633, 634, 896, 1500, 4000) for h in (50, 300, 448, 633, 634, 896, 1500, 4000)]
     rows = spark.createDataFrame(sizes, "w int, h int").withColumn("grid", geometry.tile_grid(F.col("w"), F.col("h")))
-    assert all((r["grid"]["cols"], r["grid"]["rows"]) == by_hand_grid(r["w"], r["h"]) for r in rows.collect())
+    assert all((r["grid"]["cols"], r["grid"]["rows"]) == nearest_grid(r["w"], r["h"]) for r in rows.collect())
     for (w, h), tiles in geometry.crops(rows).groupBy("w", "h").agg(F.collect_list(F.struct("tile", "x0", "y0", "x1", "y1")).alias("t")).rdd.map(lambda r: ((r["w"], r["h"]), r["t"])).collect():
-        i, j = by_hand_grid(w, h)
+        i, j = nearest_grid(w, h)
         placed = [t for t in tiles if t["x0"] is not None]
         assert len(placed) == i * j and len(tiles) == i * j + (i * j > 1)
         assert {(t["x0"], t["y0"]) for t in placed} == {(x * 448, y * 448) for x in range(i) for y in range(j)}
@@ -140,7 +135,15 @@ def test_training(spark):
     assert training.validation_loss(rows.limit(0)).first()["val_loss"] is None
     listing = spark.createDataFrame([("p_5",), ("p_40",), ("chkp_latest.pt",)], "path string")
     assert training.latest_checkpoint(listing).first()["path"] == "p_40"
-    assert {r["path"]: r["keep"] for r in training.retention(listing).collect()} == {"p_40": True, "p_5": True, "chkp_latest.pt": False}
+    folder = [f"run/{x}" for n in (5, 40, 300) for x in (f"chkp_{n}.pt", f"peft_chkp_{n}")] + ["run/chkp_latest.pt", "run/peft_chkp_7", "run/notes.txt"]
+    kept = {r["path"] for r in training.retention(spark.createDataFrame([(x,) for x in folder], "path string")).where("keep").collect()}
+    assert kept == {"run/chkp_300.pt", "run/peft_chkp_300", "run/chkp_40.pt", "run/peft_chkp_40", "run/peft_chkp_7", "run/notes.txt"}
+    half = one(spark, training.learning_rate(F.lit(55), 1.0, 10, 100))
+    assert half == pytest.approx(0.5) and one(spark, training.learning_rate(F.lit(100), 1.0, 10, 100)) == pytest.approx(0.0)
+    layers = lambda rows, names: spark.createDataFrame(rows, names)
+    w = layers([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (1, 0, 0, 5.0)], "layer int, i int, j int, w double")
+    b, a = layers([(0, 0, 0, 3.0), (0, 0, 1, 1.0)], "layer int, i int, k int, v double"), layers([(0, 0, 1, 10.0), (0, 1, 1, 7.0)], "layer int, k int, j int, v double")
+    assert {tuple(r) for r in training.low_rank_merge(w, a, b, 0.5).collect()} == {(0, 0, 0, 1.0), (0, 0, 1, 2.0 + 0.5 * 37), (1, 0, 0, 5.0)}
     assert one(spark, training.family(F.lit("x/QWEN3-VL"))) == "qwen3"
     with pytest.raises(Exception, match="unsupported base model"):
         one(spark, training.family(F.lit("other")))
@@ -148,9 +151,41 @@ def test_training(spark):
     assert one(spark, training.learning_rate(F.lit(0), 1.0, 10, 100)) == 0.0 and one(spark, training.learning_rate(F.lit(10), 1.0, 10, 100)) == 1.0
 
 
-def test_settings():
+def test_settings(spark):
     good = dict(dataset_dir="d", base_model_name="m", output_dir="o", batch_size=4, gradient_accumulation=8, dataloader_seed=117, epochs=1, lr=1e-4, num_warmup_steps=25, num_save_steps=50, image_max_pixel_count=14_000_000)
     assert RunSettings(**good, inert={"max_tokens": 4500}).lora_r == 16
     for bad in ({"batch_size": 0}, {"lora_bias": "some"}, {"inert": {"other": 1}}):
         with pytest.raises(ValueError):
             RunSettings(**(good | bad))
+    line = [x for k, v in good.items() for x in (f"--{k}", str(v))]
+    run = parsed(RunSettings, [*line, "--use_peft", "--max_tokens", "4500", "--lora_target_modules", "q_proj", "v_proj"])
+    assert run == RunSettings(**good, use_peft=True, lora_target_modules=("q_proj", "v_proj"), inert={"max_tokens": "4500"})
+    assert parsed(MergeSettings, ["--base_model", "b", "--adapter_path", "a", "--output_model_path", "o"]) == MergeSettings("b", "a", "o")
+    for bad in (line[2:], [*line, "--other", "1"]):
+        with pytest.raises(SystemExit):
+            parsed(RunSettings, bad)
+    rows = spark.range(50).withColumnRenamed("id", "k")
+    assert sorted(r["rank"] for r in tokens.epoch(rows, run, "k", global_step=3).collect()) == list(range(13, 51))
+
+
+def test_log_goes_to_file_and_console(tmp_path, capsys):
+    import logging
+
+    before = logging.getLogger().handlers[:], logging.getLogger().level
+    try:
+        log = logs.to_file_and_console(str(tmp_path / "a" / "run.log"), "warning")
+        log.info("unseen")
+        log.warning("seen")
+        assert "WARNING - seen" in (tmp_path / "a" / "run.log").read_text() and "unseen" not in (tmp_path / "a" / "run.log").read_text()
+        assert logs.to_file_and_console(str(tmp_path / "a" / "run.log"), "odd").level == logging.INFO
+    finally:
+        logging.getLogger().handlers[:], logging.getLogger().level = before
+
+
+def test_split_guards(spark):
+    some, none = spark.range(1), spark.range(0)
+    with pytest.raises(ValueError):
+        curate.checked_splits(none, some)
+    with pytest.warns(UserWarning):
+        curate.checked_splits(some, none)
+    assert boxes.with_box_text(spark.sql("SELECT array(1, 2, 3, 4) AS box")).first()["box_str"] == "<box> 1 2 3 4 </box>"

@@ -1,6 +1,8 @@
 import json
 
-from groundlane.operators import curate
+from pyspark.sql import functions as F
+
+from groundlane.operators import curate, training
 from groundlane.sources import items
 from groundlane.streaming import metrics
 
@@ -28,10 +30,20 @@ def test_metrics_log_and_stream(spark, tmp_path):
     items.append_metrics(log, path)
     items.append_metrics(log.where("global_step >= 16"), path)
     assert items.read_metrics(spark, path).count() == 24
-    q = metrics.rolling_blocks(metrics.batch_losses(spark, path), 8, 4).writeStream.outputMode("complete").format("memory").queryName("blocks").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r["block"], r["loss"]) for r in spark.table("blocks").collect()) == [(0, 2.0), (1, 2.0)]
+    seen = []
+
+    def run():
+        seen.clear()
+        blocks = metrics.rolling_blocks(metrics.batch_losses(spark, path), 8, 4).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+        q = blocks.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+        return sorted(seen)
+
+    assert run() == [(0, 2.0), (1, 2.0)]
+    items.append_metrics(log.where("global_step IN (8, 9)").withColumn("loss", F.lit(5.0)), path)  # a resumed run writes steps again
+    assert run() == [(1, 4.0)]
+    batch = training.last_written(items.read_metrics(spark, path).withColumn("line", F.col("loss")))
+    assert sorted(map(tuple, training.virtual_losses(batch, 8, 4).collect())) == [(0, 2.0), (1, 4.0)]
 
 
 def test_state_round_trip(spark, tmp_path):
