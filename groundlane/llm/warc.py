@@ -4,10 +4,12 @@ A dictionary is trained on a bounded sample of records and stands, itself a zstd
 the start of each archive; each record is one frame of its own, compressed with that dictionary, so any record can be read alone.
 
 Records whose payloads are equal and have at least 100 bytes: the one with the smallest page_id is a response, the others are
-revisits that name it and carry no payload. Digests meet on narrow rows; a payload moves at most once, to the task that writes it.
+revisits that name it (WARC-Refers-To and its target) and carry no payload. Digests meet on narrow rows, and the task that reads a
+page writes it: payloads move only if revisits are too many to be broadcast.
 A task closes an archive at `roll` bytes; files are named by partition and number, so a repeated task replaces its own files.
 Edge cases: null html is an empty payload; null url gives an empty target; a null page_id is written under the id `none` and is
-never a revisit's target; equal page_ids with equal payloads are one response and no revisit of itself; empty tables write nothing.
+never a revisit's target; equal page_ids with equal payloads are all responses and no revisits of themselves; empty tables write
+nothing; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,17 +30,30 @@ from .base import saved, shared_dir
 
 MAGIC = 0x184D2A5D
 LEAST, ROLL, DICTIONARY, SAMPLE, SAMPLE_BYTES, LEVEL = 100, 64_000_000, 64_000, 1_000, 65_536, 3
+REVISITS = 100_000  # rows of some 300 bytes that may be broadcast
 DATE = "2024-01-01T00:00:00Z"  # archives of equal pages are equal files
 
 
+def record_id(page_id, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest}')}>"
+
+
+def target(url: str | None) -> str:
+    """A URL as a header value: white space and control characters as their percent codes."""
+    return "".join(c if c > " " and c != "\x7f" and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+
+
 def record(kind: str, page_id, url: str | None, digest: str, payload: bytes, refers_to) -> bytes:
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {''.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'none' if page_id is None else page_id}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'none' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        first, first_url = refers_to
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(first, first_url, digest)}",
+            f"WARC-Refers-To-Target-URI: {target(first_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-Id: {first}",
+        ]
     head += [f"X-Payload-Bytes: {len(payload)}", "Content-Type: text/html; charset=utf-8"]
     body = payload if kind == "response" else b""
     return ("\r\n".join([*head, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
@@ -88,10 +103,11 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     """Writes all pages to archives under `folder`; returns one row (file, n_records) per archive."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    long = rows.where(f"octet_length(html) >= {LEAST} AND page_id IS NOT NULL").select("page_id", "digest")
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = long.join(first, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    told = rows.join(later, ["page_id", "digest"], "left")
+    long = rows.where(f"octet_length(html) >= {LEAST} AND page_id IS NOT NULL").select("page_id", "url", "digest")
+    first = long.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = long.join(first, "digest").where("page_id <> first.page_id").select("page_id", "digest", "first.url", F.col("first.page_id").alias("refers_to")).distinct()
+    later = saved(later.withColumnRenamed("url", "refers_to_url"), "warc-revisits")
+    told = rows.join(F.broadcast(later) if later.count() <= REVISITS else later, ["page_id", "digest"], "left")
     dictionary = trained(pages)
     names = {x.name: x.dataType.simpleString() for x in pages.schema}
 
@@ -109,11 +125,11 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
             return out
 
         for b in batches:
-            for page, url, text, digest, refers in zip(b["page_id"].astype(object), b["url"], b["html"], b["digest"], b["refers_to"].astype(object), strict=True):
+            for page, url, text, digest, refers, first_url in zip(b["page_id"].astype(object), b["url"], b["html"], b["digest"], b["refers_to"].astype(object), b["refers_to_url"], strict=True):
                 page = None if pd.isna(page) else int(page) if names["page_id"] != "string" else page
                 revisit = not pd.isna(refers)
                 payload = text.encode("utf-8", "surrogatepass")
-                data = record("revisit" if revisit else "response", page, url, digest, payload, (int(refers) if names["page_id"] != "string" else refers) if revisit else None)
+                data = record("revisit" if revisit else "response", page, url, digest, payload, (int(refers) if names["page_id"] != "string" else refers, first_url) if revisit else None)
                 held.append(made.compress(data))
                 size += len(held[-1])
                 if size >= roll:
