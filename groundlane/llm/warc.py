@@ -30,6 +30,7 @@ from .base import saved, shared_dir
 
 MAGIC = 0x184D2A5D
 LEAST, ROLL, DICTIONARY, SAMPLE, SAMPLE_BYTES, LEVEL = 100, 64_000_000, 64_000, 1_000, 65_536, 3
+STEP = 4_096
 REVISITS = 100_000  # rows of some 300 bytes that may be broadcast
 DATE = "2024-01-01T00:00:00Z"  # archives of equal pages are equal files
 
@@ -79,11 +80,16 @@ def records(data: bytes) -> Iterator[bytes]:
         dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
         at = 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    rest = memoryview(data)[at:]
-    while rest:
-        one = reader.decompressobj()
-        yield one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :]
+    view = memoryview(data)
+    while at < len(data):
+        one, parts = reader.decompressobj(), []
+        while not one.eof:  # in steps, as what a frame leaves of its input is copied
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            parts.append(one.decompress(view[at : at + STEP]))
+            at += STEP
+        at = min(at, len(data)) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def trained(pages: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
