@@ -1,9 +1,10 @@
 """Licence scan through a positional index of rare words, with DataFrame functions only.
 
-Templates are indexed as postings (word, template, position). The IDF of each template word comes from all documents. A template's
-rarest words are its anchors; wherever an anchor stands in a document, each of its postings proposes one place for that template.
-A proposal lives only if the template's mandatory key phrase stands at the position it implies; proposals of one template that
-agree on the place then add up the IDF of their anchors, and a template is found where the sum reaches SHARE of all its anchors'.
+Templates are indexed as postings (word, template, position), rarest words first; the IDF of each template word comes from all
+documents. A file's licence words say which templates it can hold at all: those whose mandatory key phrase has all its words there.
+Of each of these, the file's highest-IDF words are looked up: wherever one stands, its posting proposes one place for the template.
+A proposal lives only if the key phrase stands at the position it implies; proposals of one template that agree on the place then add
+up the IDF of their words, and a template is found where the sum reaches SHARE of what its rarest words have.
 
 The base phrases are templates whose key phrase is the whole template, so each occurrence is one confirmed proposal.
 The index grows with the templates, not with the documents; no row, word or document is capped.
@@ -13,15 +14,17 @@ doc_id are kept apart by their text; words of any length and texts of any size a
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import LEAD, N_WORDS, alnum_split, saved
 
 ANCHORS, SHARE = 4, 0.6
+INDEX = "array<struct<t int, most int, key string, key_words array<string>, posts array<struct<word string, at int, part double, key_from int>>>>"
 
 
 @dataclass(frozen=True)
@@ -70,11 +73,18 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[s
     return found.pop("", 0), found
 
 
-def anchors(template: Template, idf: dict[str, float]) -> list[tuple[str, int]]:
-    """The rarest words of a template with their positions; of the base phrases, one word, so that an occurrence is one proposal."""
-    words = template.words.split()
-    ranked = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
-    return [(words[i], i) for i in ranked[: 1 if template.base else ANCHORS]]
+def index(templates: tuple[Template, ...], idf: dict[str, float]) -> Column:
+    """The templates with their postings, rarest words first, as one constant array that grows with the templates only. `most` of a
+    template's words are looked up in a file; of the base phrases, one, so that an occurrence is one proposal."""
+    out = []
+    for k, t in enumerate(templates):
+        words, most = t.words.split(), 1 if t.base else ANCHORS
+        ranked = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))
+        total = sum(idf[words[i]] for i in ranked[:most])
+        key_at = len(f" {t.words} ".split(f" {t.key} ")[0].split())
+        posts = [{"word": words[i], "at": i, "part": idf[words[i]] / total, "key_from": key_at - i} for i in ranked]
+        out.append({"t": k, "most": most, "key": t.key, "key_words": t.key.split(), "posts": posts})
+    return F.from_json(F.lit(json.dumps(out)), INDEX)
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
@@ -82,24 +92,28 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> D
     vocabulary = sorted({w for t in templates for w in t.words.split()})
     n, df = document_frequencies(docs, vocabulary)
     idf = {w: log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-    posts = []
-    for k, t in enumerate(templates):
-        chosen = anchors(t, idf)
-        total = sum(idf[w] for w, _ in chosen)
-        key_at = len(f" {t.words} ".split(f" {t.key} ")[0].split())
-        posts += [(w, k, at, idf[w] / total, key_at - at, t.key, len(t.key.split())) for w, at in chosen]
-    posts.append(("", -1, 0, 0.0, 0, "", 0))  # meets index -1, which stands for the document itself
-    fields = ("word", "t", "at", "part", "key_from", "key", "key_size")
-    index = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, x, strict=True)]) for x in posts])))
     cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_split(F.col("text")).alias("words"))
-    placed = cut.select("doc_id", "text_hash", "words", F.explode(F.expr("sequence(-1, size(words) - 1)")).alias("i")).withColumn("word", F.expr("IF(i < 0, '', words[i])"))
-    # The index has one row per anchor of a template, whatever the documents: it may be broadcast. Its lookup, the position of the
-    # proposal and the key phrase are checked in the stage that reads the text; only confirmed proposals leave it.
-    met = placed.join(F.broadcast(index), "word").where("(i < 0) = (t < 0)")
-    start = F.col("i") + F.col("key_from")
-    words_there = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("key_size")), " ")
-    met = met.where((F.col("i") < 0) | (start >= 0) & (words_there == F.col("key")))
-    rows = saved(met.select("doc_id", "text_hash", F.expr(N_WORDS).alias("n_words"), "t", F.expr(f"i - at - {LEAD}").alias("place"), "part", "at"), "licence-proposals")
+    cut = cut.withColumn("has", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
+    held = F.filter(index(templates, idf), lambda t: F.forall(t["key_words"], lambda w: F.array_contains("has", w)))
+    cut = cut.withColumn("held", held)
+
+    def proposals(t: Column) -> Column:
+        highest = F.slice(F.filter(t["posts"], lambda p: F.array_contains("has", p["word"])), F.lit(1), t["most"])
+        return F.flatten(F.transform(highest, lambda p: F.transform(F.filter("at", lambda i: agrees(t, p, i)), lambda i: F.struct(
+            t["t"].alias("t"), (i - p["at"] - F.expr(LEAD)).alias("place"), p["part"].alias("part"), p["at"].alias("at")))))
+
+    def agrees(t: Column, p: Column, i: Column) -> Column:
+        start = i + p["key_from"]
+        there = F.array_join(F.slice("words", start + 1, F.size(t["key_words"])), " ")
+        return (F.get("words", i) == p["word"]) & (start >= 0) & (there == t["key"])
+
+    # Lookup, relative positions and key phrases are checked in the stage that reads the text; only confirmed proposals leave it.
+    # Files that can hold no template have no places to look at.
+    at = F.when((F.size("held") > 0) & (F.size("words") > 0), F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    met = cut.withColumn("at", at).select("doc_id", "text_hash", F.expr(N_WORDS).alias("n_words"), F.flatten(F.transform("held", proposals)).alias("found"))
+    itself = F.array(F.struct(F.lit(-1).alias("t"), F.lit(None).cast("int").alias("place"), F.lit(0.0).alias("part"), F.lit(0).alias("at")))
+    met = met.select("doc_id", "text_hash", "n_words", F.inline(F.concat(itself, "found")))
+    rows = saved(met, "licence-proposals")
     p = rows.where("t >= 0").select("doc_id", "text_hash", "t", "place", "part", "at").distinct()
     places = p.groupBy("doc_id", "text_hash", "t", "place").agg(F.least(F.sum("part"), F.lit(1.0)).alias("score")).where(F.col("score") >= SHARE)
     label = F.array(*[F.lit(t.label) for t in templates])[F.col("t")]

@@ -83,6 +83,21 @@ def test_licence_places_are_brute_force(spark, docs):
     assert licences.scan(docs).count() == docs.count() and licences.scan(empty(spark)).count() == 0
 
 
+def test_licence_words_of_each_file(spark):
+    notice = next(t.words for t in licences.NOTICES if t.label == "bsd")
+    texts = [
+        (1, f"x {notice} y"),
+        (2, f"y {notice.replace(' provided ', ' xx ').replace(' met', ' yy')} z"),  # two of its words are not in the file
+        (3, notice.split(" with ")[0].replace("binary", "bit")),  # no key phrase
+        (4, " ".join(reversed(notice.split()))),  # all words, no place
+        (5, None), (6, ""), (7, f"{notice} {notice}"),
+    ]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if "bsd" in r["labels"]} == {1, 2, 7}
+    assert got[1]["score"] == got[7]["score"] == 1.0 and 0 < got[2]["score"] <= 1.0
+    assert all(got[i]["score"] == 0 and got[i]["labels"] == [] for i in (3, 4, 5, 6))
+
+
 def test_quality_is_brute_force(spark, docs):
     for r, x in zip(docs.collect(), quality.ledger(docs).collect(), strict=True):
         t = r["text"] or ""
