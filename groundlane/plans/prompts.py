@@ -27,13 +27,18 @@ def q14_box_scale_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corners(_lines(spark, sf_dir).withColumn("b", boxes.scaled(F.col("box"), 1000, 1000)))
 
 
-def q15_box_scale_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes in pixels of the resized image; an item's image has the size of the part whose number the item's modulo gives."""
+def _sized(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rw and rh: an item's image has the resized size of the part whose number the item's modulo gives."""
     size = bindings.image_sizes(spark, sf_dir)
     w, h = geometry.resized_28(F.col("w"), F.col("h"), geometry.target(F.col("w"), F.col("h")))
     size = size.select("image_id", w.alias("rw"), h.alias("rh"))
-    n = size.agg(F.max("image_id").alias("n"))
-    rows = _lines(spark, sf_dir).join(F.broadcast(n)).withColumn("image_id", F.col("item_id") % F.col("n") + 1).join(size, "image_id")
+    n = size.agg(F.max("image_id").alias("n"))  # one row
+    return rows.join(F.broadcast(n)).withColumn("image_id", F.col("item_id") % F.col("n") + 1).join(size, "image_id")
+
+
+def q15_box_scale_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in pixels of the resized image."""
+    rows = _sized(spark, sf_dir, _lines(spark, sf_dir))
     return _corners(rows.withColumn("b", boxes.scaled(F.col("box"), boxes.target_side(F.lit("qwen2.5"), F.col("rw")), boxes.target_side(F.lit("qwen2.5"), F.col("rh")))))
 
 
@@ -54,7 +59,7 @@ def q18_render_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q19_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rendered(spark, sf_dir).withColumn("m", templates.messages(templates.size_line(F.lit(1000), F.lit(1000))))
+    rows = _sized(spark, sf_dir, _rendered(spark, sf_dir)).withColumn("m", templates.messages(templates.size_line(F.col("rw"), F.col("rh"))))
     flat = F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), F.array_join(F.transform(m["content"], lambda p: F.concat(p["type"], F.lit("="), p["text"])), "+")))
     return rows.select("item_id", F.md5(F.array_join(flat, "\n")).alias("messages_md5"), F.size("m").cast("bigint").alias("n_messages"))
 
@@ -91,8 +96,8 @@ SQL = {
     "q16_box_strings": f"WITH {ITEMS}, {LINES} SELECT item_id, CAST(k AS INTEGER) AS k, {BOX_STR.format(box='box')} AS box_str FROM line_box",
     "q17_render_answerbox": f"{ALL} SELECT item_id, assistant_text FROM rendered WHERE template = 'answerBox'",
     "q18_render_box": f"{ALL} SELECT item_id, user_text, assistant_text FROM rendered WHERE template <> 'answerBox'",
-    "q19_messages": f"""{ALL} SELECT item_id, md5('system:text=' || system_text || chr(10) || 'user:image=' || image_path || '+text=Image Size: (1000, 1000)' || chr(10) || '+text=' || user_text
-      || chr(10) || 'assistant:text=' || assistant_text) AS messages_md5, CAST(3 AS BIGINT) AS n_messages FROM rendered""",
+    "q19_messages": f"""{ALL}, {RESIZED_28}, n AS (SELECT max(image_id) AS n FROM size) SELECT item_id, md5('system:text=' || system_text || chr(10) || 'user:image=' || image_path || '+text=Image Size: (' || rw || ', ' || rh || ')' || chr(10) || '+text=' || user_text
+      || chr(10) || 'assistant:text=' || assistant_text) AS messages_md5, CAST(3 AS BIGINT) AS n_messages FROM rendered CROSS JOIN n JOIN resized ON image_id = item_id % n.n + 1""",
     "q20_prompt_vs_full": """SELECT conv_id, md5(coalesce(string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '')) AS prompt_md5,
       md5(string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn)) AS full_md5 FROM conversations GROUP BY conv_id""",
     "q25_image_token_prompt": """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<image>' || text || '<image>' ELSE text END AS prompt FROM conversations WHERE role = 'user'),

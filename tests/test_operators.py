@@ -63,7 +63,7 @@ def test_boxes(spark):
     assert one(spark, half_even(F.lit(0.5))) == 0 and one(spark, half_even(F.lit(2.5))) == 2 and one(spark, half_even(F.lit(1.5))) == 2
 
 
-@pytest.mark.parametrize("items", [["It's", "B"], ["a\nb\\c", 'say "x"'], ["'\""], [], ["é"]])
+@pytest.mark.parametrize("items", [["It's", "B"], ["a\nb\\c", 'say "x"'], ["'\""], [], ["é"], ["\x00\x1b\x7f \x85\xa0\xad", "\\x00'\u200b\u2028", "\u3000\ue000 😀 \U000e0001ß"]])
 def test_list_repr_is_pythons(spark, items):
     assert one(spark, list_repr(F.col("x")), "x array<string>", (items,)) == repr(items)
 
