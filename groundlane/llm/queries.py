@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licences, neardup, packing, quality, tokenbin, tokencount, toxicity, warc
+from . import conversations, decontam, langid, licences, neardup, packing, quality, tokenbin, tokencount, toxicity, warc
 from .base import shared_dir, table
 
 
@@ -65,11 +65,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_decontamination, op3_licences, op4_warc, op5_language,
         op6_packing, op7_quality, op8_near_duplicates, op9_token_ids, op10_token_counts,
+        op13_conversation_repair,
     )
 }
 #: Pieces of the SQL.
@@ -142,4 +148,63 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload
 FROM page LEFT JOIN first USING (digest)
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL}
+EDGES = ", ".join(map(str, conversations.edges()))
+ENDINGS = ", ".join(map(str, conversations.endings()))
+OP13_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) r(n))),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS hit
+  FROM conversations, bits
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) r(n) WHERE hit <> 0 AND (n = 0 OR hit = 3)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) - 1 AS pos FROM damaged
+),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial
+  FROM placed
+),
+judged AS (
+  SELECT *, CASE WHEN shown = '' THEN 2 WHEN again THEN 3 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    lead(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS follower
+  FROM seen
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+    count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (initial || follower NOT IN ('su', 'ua', 'au')) AS illegal,
+    string_agg(chr(CAST(65 + 4 * fault + strpos('suax', initial) - 1 AS INTEGER)), '' ORDER BY pos) AS codes
+  FROM judged GROUP BY conv_id
+),
+walk AS (
+  SELECT conv_id, codes, 0 AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS made FROM counted
+  UNION ALL
+  SELECT conv_id, codes, i, state, b.cost, b.audit, b.made FROM (
+    SELECT conv_id, codes, i + 1 AS i, dst AS state, min({{'cost': cost + e.c, 'audit': audit || e.edits, 'made': made || e.makes}}) AS b
+    FROM walk JOIN (VALUES {EDGES}) e(code, src, dst, c, edits, makes) ON code = substr(codes, i + 1, 1) AND src = state
+    WHERE i < length(codes) GROUP BY conv_id, codes, i, dst)
+),
+best AS (
+  SELECT conv_id, min({{'cost': cost + c, 'audit': audit || edits, 'made': made || makes}}) AS b
+  FROM walk JOIN (VALUES {ENDINGS}) e(s, c, edits, makes) ON s = state WHERE i = length(codes) GROUP BY conv_id
+),
+sign AS (SELECT conv_id, unnest(regexp_extract_all(b.made, '[UA]*[ua=-]|[UA]+$')) AS way, generate_subscripts(regexp_extract_all(b.made, '[UA]*[ua=-]|[UA]+$'), 1) - 1 AS pos FROM best),
+each AS (SELECT conv_id, pos, unnest(string_split(way, '')) AS s, generate_subscripts(string_split(way, ''), 1) AS k FROM sign),
+text_of AS (
+  SELECT e.conv_id, string_agg(CASE WHEN lower(s) = 'u' THEN 'user' WHEN lower(s) = 'a' THEN 'assistant' ELSE role END || ':' || CASE WHEN s IN ('U', 'A') THEN '' ELSE text END, chr(10) ORDER BY e.pos, k) AS whole
+  FROM each e LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.pos = e.pos WHERE s <> '-' GROUP BY e.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN text_of t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op13_conversation_repair": OP13_SQL}
