@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, langid, licences, neardup, packing, quality, tokenbin, tokencount, toxicity, warc
+from . import bestfit, conversations, decontam, divergence, langid, licences, neardup, packing, quality, tokenbin, tokencount, toxicity, warc
 from .base import shared_dir, table
 
 
@@ -65,6 +65,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.report(rows, conversations.damaged(rows))
@@ -75,7 +83,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_decontamination, op3_licences, op4_warc, op5_language,
         op6_packing, op7_quality, op8_near_duplicates, op9_token_ids, op10_token_counts,
-        op13_conversation_repair,
+        op11_best_fit, op12_source_divergence, op13_conversation_repair,
     )
 }
 #: Pieces of the SQL.
@@ -148,6 +156,33 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload
 FROM page LEFT JOIN first USING (digest)
 """
 
+OP12_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+word AS MATERIALIZED (SELECT lang, source, term, row, count(*) AS n FROM (SELECT lang, source, row, unnest(w) AS term FROM doc) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+held AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, sum(w.n) AS n FROM word w JOIN kept USING (lang, term) GROUP BY ALL),
+team AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(total, 0) AS lang_n, coalesce((SELECT sum(n) FROM own o WHERE o.lang = g.lang AND o.source = g.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN held USING (lang)
+),
+p AS MATERIALIZED (
+  SELECT t.lang, t.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 1) // (t.n + t.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (t.lang_n + t.v) AS q
+  FROM team t JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = t.lang AND o.source = t.source AND o.term = k.term
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM team a JOIN team b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
 EDGES = ", ".join(map(str, conversations.edges()))
 ENDINGS = ", ".join(map(str, conversations.endings()))
 OP13_SQL = rf"""
@@ -207,4 +242,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.con
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN text_of t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op13_conversation_repair": OP13_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_conversation_repair": OP13_SQL}
