@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,13 @@ def reject_reason(has_image: Column) -> Column:
     )
 
 
-def judged(items: DataFrame, listing: DataFrame) -> DataFrame:
-    """Items with image_key and reject_reason. Catalyst broadcasts the listing's keys only if they are small."""
+def judged(items: DataFrame, listing: DataFrame, reason: Callable[[Column], Column] = reject_reason) -> DataFrame:
+    """Items with image_key and reject_reason, by a rule that is told whether the image is there. Catalyst broadcasts the listing's
+    keys only if they are small."""
     known = listing.select(last_segment(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
     rows = items.withColumn("image_key", last_segment(F.col("image_path")))
     rows = rows.join(known, F.col("image_key") == F.col("_key"), "left")
-    return rows.withColumn("reject_reason", reject_reason(F.coalesce("_there", F.lit(False)))).drop("_key", "_there")
+    return rows.withColumn("reject_reason", reason(F.coalesce("_there", F.lit(False)))).drop("_key", "_there")
 
 
 def kept(items: DataFrame, listing: DataFrame) -> DataFrame:

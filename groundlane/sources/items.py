@@ -9,19 +9,16 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import last_segment
+from . import annotations
 
 
-def read_items(spark: SparkSession, root: str, splits: Sequence[str] = ("train", "val")) -> DataFrame:
+def read_items(spark: SparkSession, root: str, splits: Sequence[str] = ("train", "val"), on_fault: str = "raise") -> DataFrame:
     """Items of {root}/{dataset}/{split}/json/*.json with dataset and split; one multi-line JSON document per file.
 
-    Splits that no dataset has are skipped; an unknown key is ignored; a malformed file gives no items."""
-    path = f"{root.rstrip('/')}/*/{{{','.join(splits)}}}/json/*.json"
-    docs = spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
-    file = F.col("_metadata.file_path")
-    placed = docs.select(
-        F.regexp_extract(file, r"/([^/]+)/[^/]+/json/[^/]+$", 1).alias("dataset"), F.regexp_extract(file, r"/([^/]+)/json/[^/]+$", 1).alias("split"), "items"
-    )
-    return placed.select("dataset", "split", F.inline("items"))
+    Splits that no dataset has are skipped; an unknown key is ignored; a value of another type than declared is null. A malformed file
+    ends the job by name, or with "skip" stands in annotations.rejected_files alone."""
+    rows = annotations.typed(annotations.file_items(annotations.annotation_files(spark, root, splits), on_fault))
+    return rows.select("dataset", "split", "query", "answer", "bbox", "image_path")
 
 
 def image_listing(spark: SparkSession, root: str, splits: Sequence[str] = ("train", "val")) -> DataFrame:
