@@ -1,4 +1,4 @@
-"""Annotation files, image listings, metrics logs and state tables."""
+"""Annotation files, image listings and metrics logs."""
 
 from __future__ import annotations
 
@@ -38,11 +38,3 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def append_metrics(rows: DataFrame, path: str) -> None:
     rows.select(*[x.split()[0] for x in schemas.METRIC.split(", ")]).write.mode("append").json(path)
-
-
-def save_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TRAINER_STATE).parquet(path)

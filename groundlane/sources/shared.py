@@ -42,7 +42,7 @@ def moved(spark: SparkSession, source: str, target: str) -> None:
     """Renames a file or folder; a file that is there is replaced in one step."""
     fs, path = store(spark, source)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    over = spark._gateway.new_array(hadoop.Options.Rename, 1)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     over[0] = hadoop.Options.Rename.OVERWRITE
     hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(path), fs.makeQualified(hadoop.Path(target)), over)
 

@@ -44,9 +44,3 @@ def test_metrics_log_and_stream(spark, tmp_path):
     assert run() == [(1, 4.0)]
     batch = training.last_written(items.read_metrics(spark, path).withColumn("line", F.col("loss")))
     assert sorted(map(tuple, training.virtual_losses(batch, 8, 4).collect())) == [(0, 2.0), (1, 4.0)]
-
-
-def test_state_round_trip(spark, tmp_path):
-    state = spark.sql("SELECT 5L AS global_step, 1L AS virtual_batch_counter, 0.5D AS best_val_loss, true AS use_peft, named_struct('r', 16, 'lora_alpha', 32.0D, 'lora_dropout', 0.05D, 'bias', 'none', 'target_modules', array('q'), 'modules_to_save', cast(array() as array<string>)) AS lora_config")
-    items.save_state(state, str(tmp_path / "state"))
-    assert items.read_state(spark, str(tmp_path / "state")).first()["lora_config"]["r"] == 16
