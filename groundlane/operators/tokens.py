@@ -29,6 +29,23 @@ def rank_within(rows: DataFrame, within: list[str], order: Column, ties: str, na
     return placed.join(sums, [*within, "_g"]).withColumn(name, F.col("_r") + F.col("_b")).drop("_o", "_g", "_r", "_b", "_s")
 
 
+def running_sum(rows: DataFrame, order: str, value: Column, name: str, ranges: int = 256, ties: str | None = None) -> DataFrame:
+    """The sum of `value` over all rows up to and including each, in the order of a numeric column: a prefix sum over ranges. Quantiles
+    cut the column into ranges, the sums of these are summed up before them, and each range is summed on its own; no task sees all
+    rows. Of rows with equal `order` the lesser `ties` comes first; without it their order is undefined. Null orders come last."""
+    from pyspark.ml.feature import Bucketizer
+
+    held = rows.withColumns({"_x": F.coalesce(F.col(order).cast("double"), F.lit(float("inf"))), "_v": value})
+    cuts = sorted({x for x in held.approxQuantile("_x", [k / ranges for k in range(1, ranges)], 0.001) if abs(x) < float("inf")})
+    placed = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="_x", outputCol="_g", handleInvalid="keep").transform(held)
+    sums = placed.groupBy("_g").agg(F.sum("_v").alias("_s")).withColumn("_all", F.lit(0))
+    before = F.sum("_s").over(Window.partitionBy("_all").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))  # `ranges` rows
+    keys = [F.col(order).asc_nulls_last(), *([ties] if ties else [])]
+    own = F.sum("_v").over(Window.partitionBy("_g").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    bases = F.broadcast(sums.select("_g", F.coalesce(before, F.lit(0)).alias("_b")))
+    return placed.withColumn("_own", own).join(bases, "_g").withColumn(name, F.col("_own") + F.col("_b")).drop("_x", "_v", "_g", "_own", "_b")
+
+
 def epoch_order(rows: DataFrame, seed: int, key: str) -> DataFrame:
     return global_rank(rows, hash_order(seed, key), key)
 

@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import running_sum
+
 
 def last_written(log: DataFrame, key: str = "global_step", line: str = "line") -> DataFrame:
     """One row per step: the one written last, as a resumed run writes steps again."""
@@ -20,6 +22,19 @@ def virtual_losses(log: DataFrame, accumulation: int, batch_size: int) -> DataFr
     return blocks.where(F.col("n") == accumulation).select("block", "loss")
 
 
+def virtual_steps(log: DataFrame, accumulation: int, start: int = 0) -> DataFrame:
+    """A log with one record per batch, with `stepped` (whether the batch ends a block and the optimizer steps) and
+    virtual_batch_counter, the number of steps up to and including it, from a resumed run's `start` on. Whatever batches a log lacks,
+    the counter counts the steps that it has."""
+    stepped = log.withColumn("stepped", (F.col("batch_idx") + 1) % accumulation == 0)
+    return running_sum(stepped, "batch_idx", F.col("stepped").cast("bigint"), "_n").withColumn("virtual_batch_counter", F.col("_n") + start).drop("_n")
+
+
+def save_steps(steps: DataFrame, every: int) -> DataFrame:
+    """The steps after which a run validates and saves: global_step is the number of batches done."""
+    return steps.where(F.col("stepped") & (F.col("virtual_batch_counter") % every == 0)).select("batch_idx", (F.col("batch_idx") + 1).alias("global_step"), "virtual_batch_counter")
+
+
 def validation_loss(rows: DataFrame) -> DataFrame:
     """The mean over batches of each batch's mean loss, whatever the batches' sizes; null without rows."""
     return rows.groupBy("batch_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss").alias("val_loss"), F.count("*").alias("n_batches"))

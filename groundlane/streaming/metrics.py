@@ -1,15 +1,20 @@
-"""The metrics log as a stream."""
+"""The metrics log as a stream: count-based blocks with bounded state, and a sink that writes every batch once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas
+from ..sources.shared import exists, moved
+
+#: Timers and typed state need this state store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def batch_losses(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -18,28 +23,72 @@ def batch_losses(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return lines.where("type = 'batch_loss'").select("global_step", "batch_idx", "loss", F.col("_metadata.file_modification_time").alias("written"))
 
 
-def rolling_blocks(stream: DataFrame, accumulation: int, batch_size: int, idle_seconds: int = 3600) -> DataFrame:
-    """(block, loss) whenever a block is full and has changed, for update mode. Of a step that a resumed run wrote again, the record
-    of the later file counts, as in the batch query. The state of a block is its steps, `accumulation` at most, and goes once the log is
-    twice `idle_seconds` past the block's last record; a step that comes still later opens its block anew."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = {s: (at, x) for s, at, x in zip(*state.get, strict=True)} if state.exists else {}
+class BlockLosses(StatefulProcessor):
+    """The steps of one block, `accumulation` at most, until a timer lets them go."""
+
+    def __init__(self, accumulation: int, batch_size: int, idle_ms: int):
+        self.accumulation, self.batch_size, self.idle_ms = accumulation, batch_size, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "steps array<long>, written array<long>, losses array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = {s: (at, x) for s, at, x in zip(*self.held.get(), strict=True)} if self.held.exists() else {}
         before = dict(held)
-        for f in frames:
+        for f in rows:
             for step, at, loss in zip(f["global_step"].tolist(), f["at"].tolist(), f["loss"].tolist(), strict=True):
                 if step not in held or held[step][0] <= at:
                     held[step] = (at, loss)
         steps = sorted(held)
-        state.update((steps, [held[s][0] for s in steps], [held[s][1] for s in steps]))
-        state.setTimeoutTimestamp(max(at for at, _ in held.values()) + 2000 * idle_seconds)
-        if len(held) == accumulation and held != before:
-            yield pd.DataFrame({"block": [key[0]], "loss": [sum(x / batch_size for _, x in held.values())]})
+        self.held.update((steps, [held[s][0] for s in steps], [held[s][1] for s in steps]))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(at for at, _ in held.values()) + 2 * self.idle_ms)
+        if len(held) == self.accumulation and held != before:
+            yield pd.DataFrame({"block": [key[0]], "loss": [sum(held[s][1] / self.batch_size for s in steps)]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
+
+def rolling_blocks(stream: DataFrame, accumulation: int, batch_size: int, idle_seconds: int = 3600) -> DataFrame:
+    """(block, loss) whenever a block is full and has changed, for update mode. Of a step that a resumed run wrote again, the record
+    of the later file counts, as in the batch query. A block's state goes once the log is twice `idle_seconds` past its last record; a
+    step that comes still later opens its block anew. The session needs STATE_STORE."""
     timed = stream.withWatermark("written", f"{idle_seconds} seconds").withColumn("at", F.unix_millis("written"))
     blocks = timed.withColumn("block", F.floor(F.col("batch_idx") / accumulation)).groupBy("block")
-    state = "steps array<long>, written array<long>, losses array<double>"
-    return blocks.applyInPandasWithState(update, "block long, loss double", state, "update", GroupStateTimeout.EventTimeTimeout)
+    return blocks.transformWithStateInPandas(BlockLosses(accumulation, batch_size, 1000 * idle_seconds), "block long, loss double", "Update", "EventTime")
+
+
+def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that gives every batch a folder batch={id} under `path`, whole or not at all. A batch that is run again
+    after a failure finds its folder there, or finds none and writes it: each record is there once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, target, draft = batch.sparkSession, f"{path}/batch={number}", f"{path}/_draft-{uuid.uuid4().hex}"
+        if not exists(spark, target):
+            batch.write.json(draft)
+            moved(spark, draft, target)
+
+    return write
+
+
+def last_batches(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows that batch_writer wrote, the one of each key that the latest batch gave."""
+    others = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+
+
+def block_log(spark: SparkSession, log: str, out: str, state: str, accumulation: int, batch_size: int, files_per_trigger: int = 1000) -> DataFrame:
+    """Runs the stream over all of the log that is there, from where `state` says it stopped, and reads each block's latest loss."""
+    own = spark.newSession()
+    own.conf.set(*STATE_STORE)
+    blocks = rolling_blocks(batch_losses(own, log, files_per_trigger), accumulation, batch_size)
+    query = blocks.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(batch_writer(out)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return last_batches(spark.read.schema("block long, loss double, batch long").json(out), "block")

@@ -1,8 +1,10 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from groundlane.operators import curate, training
+from groundlane.operators import curate, tokens, training
 from groundlane.sources import items
 from groundlane.streaming import metrics
 
@@ -30,17 +32,43 @@ def test_metrics_log_and_stream(spark, tmp_path):
     items.append_metrics(log, path)
     items.append_metrics(log.where("global_step >= 16"), path)
     assert items.read_metrics(spark, path).count() == 24
-    seen = []
+    out, state = str(tmp_path / "blocks"), str(tmp_path / "state")
 
     def run():
-        seen.clear()
-        blocks = metrics.rolling_blocks(metrics.batch_losses(spark, path), 8, 4).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
-        q = blocks.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).trigger(availableNow=True).start()
-        assert q.awaitTermination(100)
-        return sorted(seen)
+        return sorted(map(tuple, metrics.block_log(spark, path, out, state, 8, 4).collect()))
 
     assert run() == [(0, 2.0), (1, 2.0)]
     items.append_metrics(log.where("global_step IN (8, 9)").withColumn("loss", F.lit(5.0)), path)  # a resumed run writes steps again
-    assert run() == [(1, 4.0)]
+    assert run() == [(0, 2.0), (1, 4.0)]
+    assert run() == [(0, 2.0), (1, 4.0)]
     batch = training.last_written(items.read_metrics(spark, path).withColumn("line", F.col("loss")))
     assert sorted(map(tuple, training.virtual_losses(batch, 8, 4).collect())) == [(0, 2.0), (1, 4.0)]
+
+
+def test_a_batch_run_again_writes_its_records_once(spark, tmp_path, monkeypatch):
+    out = f"file://{tmp_path}/out"
+    write, rows = metrics.batch_writer(out), spark.range(5).selectExpr("id AS block", "1.0D AS loss")
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "moved", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            write(rows, 0)
+    read = lambda: spark.read.schema("block long, loss double, batch long").json(out)
+    write(rows, 0)
+    write(rows, 0)
+    write(rows.where("block = 3").withColumn("loss", F.lit(2.0)), 1)
+    assert read().count() == 6
+    assert sorted(map(tuple, metrics.last_batches(read(), "block").collect())) == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 2.0), (4, 1.0)]
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 500) * (i % 3) if i % 50 else None, i, rng.randint(-3, 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x long, t long, v long").repartition(5)
+    total, want = 0, {}
+    for x, t, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        want[t] = total = total + v
+    out = tokens.running_sum(df, "x", F.col("v"), "total", ranges=9, ties="t")
+    assert {r["t"]: r["total"] for r in out.collect()} == want and out.columns == ["x", "t", "v", "total"]
+    assert tokens.running_sum(df.limit(0), "x", F.col("v"), "total").count() == 0
+    steps = training.virtual_steps(spark.createDataFrame([(i,) for i in (0, 7, 8, 15, 23, 24)], "batch_idx long"), 8, start=10)
+    assert [(r["batch_idx"], r["virtual_batch_counter"]) for r in steps.where("stepped").orderBy("batch_idx").collect()] == [(7, 11), (15, 12), (23, 13)]
