@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import check_split_size
-from ..functions.columns import half_even, hash32, hash_order, last_segment
+from ..functions.columns import half_even, hash32, hash_order
 from .tokens import rank_within
 
 REASONS = ("empty_query", "empty_bbox", "empty_answer", "len_mismatch", "missing_image")
@@ -27,11 +27,12 @@ def reject_reason(has_image: Column) -> Column:
     )
 
 
-def judged(items: DataFrame, listing: DataFrame, reason: Callable[[Column], Column] = reject_reason) -> DataFrame:
-    """Items with image_key and reject_reason, by a rule that is told whether the image is there. Catalyst broadcasts the listing's
-    keys only if they are small."""
-    known = listing.select(last_segment(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
-    rows = items.withColumn("image_key", last_segment(F.col("image_path")))
+def judged(items: DataFrame, listing: DataFrame, reason: Callable[[Column], Column] = reject_reason, segments: int = 1) -> DataFrame:
+    """Items with image_key and reject_reason, by a rule that is told whether the image is there: whether the listing has a path of
+    the same last `segments`. Catalyst broadcasts the listing's keys only if they are small."""
+    key = lambda path: F.substring_index(path, "/", -segments)
+    known = listing.select(key("path").alias("_key")).distinct().withColumn("_there", F.lit(True))
+    rows = items.withColumn("image_key", key("image_path"))
     rows = rows.join(known, F.col("image_key") == F.col("_key"), "left")
     return rows.withColumn("reject_reason", reason(F.coalesce("_there", F.lit(False)))).drop("_key", "_there")
 

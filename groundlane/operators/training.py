@@ -78,11 +78,16 @@ def parameter_totals(parameters: DataFrame) -> DataFrame:
     return parameters.agg(total.alias("total"), tuned.alias("trainable"), F.round(F.try_divide(100.0 * tuned, total), 3).alias("percent"))
 
 
-def low_rank_merge(weights: DataFrame, a: DataFrame, b: DataFrame, scale: float, layer: str = "layer") -> DataFrame:
-    """W + scale * B A of each layer over coordinates: weights (layer, i, j, w), b (layer, i, k, v), a (layer, k, j, v)."""
-    pairs = b.select(layer, "i", "k", F.col("v").alias("x")).join(a.select(layer, "k", "j", F.col("v").alias("y")), [layer, "k"])
-    product = pairs.groupBy(layer, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-    return weights.join(product, [layer, "i", "j"], "full").select(layer, "i", "j", (F.coalesce("w", F.lit(0.0)) + scale * F.coalesce("p", F.lit(0.0))).alias("w"))
+def low_rank_merge(weights: DataFrame, adapter: DataFrame, scale: float, layer: str = "layer") -> DataFrame:
+    """W + scale * B A of each layer by rows of W: weights (layer, i, w array), adapter (layer, k, a array, b array), where a is row k of A
+    and b column k of B. The adapter's few rows of a layer meet each row of W as one array, so the join gives the rows of W and no
+    more. Layers without an adapter stay as they are; sizes that don't fit are an error."""
+    factors = adapter.groupBy(layer).agg(F.array_sort(F.collect_list(F.struct("k", "a", "b"))).alias("_f"))
+    share = lambda f: scale * F.get(f["b"], F.col("i").cast("int"))
+    merged = F.aggregate("_f", F.col("w"), lambda w, f: F.zip_with(w, f["a"], lambda x, y: x + share(f) * y))
+    fits = F.forall("_f", lambda f: (F.size(f["a"]) == F.size("w")) & (F.size(f["b"]) > F.col("i")))
+    checked = F.when(F.col("_f").isNull(), F.col("w")).when(fits, merged).otherwise(F.raise_error(F.lit("the adapter doesn't fit its layer")).cast("array<double>"))
+    return weights.join(factors, layer, "left").select(layer, "i", checked.alias("w"))
 
 
 #: Families by a part of the name, and the base models that can be merged.
@@ -99,6 +104,12 @@ def family(name: Column, strict: bool = True) -> Column:
     return out
 
 
+def check_family(name: str) -> None:
+    """A base model of a known family, tiled ones included, can be prepared for; any other is an error."""
+    if not any(f in name.lower() for f in (*FAMILIES, "internvl")):
+        raise ValueError(f"unsupported base model: {name}")
+
+
 def mergeable(path: Column) -> Column:
     """Whether the last path segment is exactly one of the known base models."""
     return F.substring_index(path, "/", -1).isin(*MERGEABLE)

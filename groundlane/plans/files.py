@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import RunSettings
 from ..operators import curate, training
-from ..sources import annotations, bindings, checkpoints, items
+from ..sources import annotations, bindings, checkpoints, items, shards
 from ..sources.shared import shared_dir
 from ..streaming import metrics
 from .curation import HASH
-from .training import BATCH, LOG
+from .training import BATCH, LOG, _joined, padded_epoch
+from .training import SQL as TRAINING_SQL
 
 ACCUMULATION, SAVE_EVERY, KEEP = 8, 10, 2
 SETTINGS = RunSettings("/data", "Qwen3-VL-8B-Instruct", "/out", BATCH, ACCUMULATION, 117, 1, 1e-4, 25, SAVE_EVERY, 14_000_000, use_peft=True, restore_checkpoint=True)
@@ -84,6 +85,16 @@ def q43_virtual_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.virtual_steps(log, ACCUMULATION).where("stepped").select("batch_idx", "virtual_batch_counter")
 
 
+def q44_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The epoch's padded batches written as shards and read back from a third of the batches on."""
+    path = f"{shared_dir(spark, 'shards')}/epoch"
+    rows = padded_epoch(spark, sf_dir)
+    manifest = shards.write_shards(rows, path, rows_per_shard=2_000)
+    done = manifest.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"] // BATCH // 3
+    left = shards.read_shards(spark, path, done, BATCH)
+    return left.select("row_id", F.col("rank").cast("bigint").alias("rank"), "batch_id", F.size("ids").cast("bigint").alias("n"), *[F.md5(_joined(c)).alias(f"{c}_md5") for c in ("ids", "attention", "labels")])
+
+
 SQL = {
     "q39_annotation_files": f"""WITH {FILED}
       SELECT dataset, split, count(DISTINCT document) AS n_files, count(DISTINCT document) FILTER (document = 0) AS n_malformed, count(*) FILTER (document > 0) AS n_items,
@@ -96,6 +107,7 @@ SQL = {
       s AS (SELECT batch_idx, (SELECT count(*) FROM log x WHERE (x.batch_idx + 1) % 8 = 0 AND x.batch_idx <= log.batch_idx) AS counter FROM log WHERE (batch_idx + 1) % 80 = 0 ORDER BY batch_idx DESC LIMIT 2)
       SELECT batch_idx + 1 AS global_step, counter AS virtual_batch_counter, round((SELECT min(loss) FROM b WHERE block * 8 <= batch_idx), 6) AS best_val_loss, batch_idx = (SELECT max(batch_idx) FROM s) AS latest FROM s""",
     "q42_streamed_blocks": f"WITH {LOG} SELECT batch_idx // 8 AS block, round(sum(loss / 4), 6) AS loss FROM log GROUP BY block HAVING count(*) = 8",
+    "q44_training_shards": TRAINING_SQL["q27_pad_collate"].replace("SELECT row_id, ", "SELECT row_id, rank, batch_id, ", 1) + " WHERE rank > (SELECT count(*) FROM conversations) // 4 // 3 * 4",
     "q43_virtual_counters": f"""WITH {LOG}, s AS (SELECT batch_idx FROM log WHERE batch_idx % 13 <> 5 AND (batch_idx + 1) % 8 = 0)
       SELECT batch_idx, row_number() OVER (ORDER BY batch_idx) AS virtual_batch_counter FROM s""",
 }

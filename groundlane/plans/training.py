@@ -32,11 +32,15 @@ def q26_shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order(spark, sf_dir).select("row_id", F.col("rank").cast("bigint").alias("rank"), "batch_id")
 
 
-def q27_pad_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def padded_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked rows with ids, attention and labels of equal length within their batch."""
     rows = _order(spark, sf_dir).withColumns({"attention": F.transform("ids", lambda x: F.lit(1)), "labels": tokens.masked_prefix(F.col("ids"), F.lit(2))})
     out = tokens.padded(rows, 0)
-    out = out.withColumn("labels", tokens.masked_padding(F.col("labels"), F.col("attention")))
-    return out.select("row_id", F.size("ids").cast("bigint").alias("n"), *[F.md5(_joined(c)).alias(f"{c}_md5") for c in ("ids", "attention", "labels")])
+    return out.withColumn("labels", tokens.masked_padding(F.col("labels"), F.col("attention")))
+
+
+def q27_pad_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return padded_epoch(spark, sf_dir).select("row_id", F.size("ids").cast("bigint").alias("n"), *[F.md5(_joined(c)).alias(f"{c}_md5") for c in ("ids", "attention", "labels")])
 
 
 def q27b_batch_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,15 +114,14 @@ def q36_param_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q37_low_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank 4: of each eight vectors, which are a layer, four are A and four the transposed B; W is a pattern. Per row of the merged
     matrices, the sum of its weights and the largest."""
-    layer, part = F.floor(F.col("vec_id") / 8).alias("layer"), F.col("vec_id") % 8
     vectors = bindings.table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
-    v = vectors.select(layer, part.alias("part"), F.posexplode("embedding").alias("c", "v")).withColumn("v", F.col("v").cast("double"))
-    a = v.where("part < 4").select("layer", F.col("part").alias("k"), F.col("c").alias("j"), "v")
-    b = v.where("part >= 4").select("layer", (F.col("part") - 4).alias("k"), F.col("c").alias("i"), "v")
-    w = vectors.where("vec_id % 8 = 0").select(layer, F.size("embedding").alias("n"), F.posexplode("embedding").alias("i", "_"))
-    w = w.select("layer", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).withColumn("w", F.expr("((i * 31 + j * 17) % 7 - 3) / 10D"))
-    rows = training.low_rank_merge(w, a, b, 2.0).groupBy("layer", "i")
-    return rows.agg(F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 5).alias("largest"))
+    v = vectors.select(F.floor(F.col("vec_id") / 8).alias("layer"), (F.col("vec_id") % 8).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+    adapter = v.where("part < 4").select("layer", F.col("part").alias("k"), F.col("v").alias("a")).join(v.where("part >= 4").select("layer", (F.col("part") - 4).alias("k"), F.col("v").alias("b")), ["layer", "k"])
+    rows = v.where("part = 0").select("layer", F.size("v").alias("n"), F.posexplode("v").alias("i", "_"))
+    weights = rows.select("layer", "i", F.expr("transform(sequence(0, n - 1), j -> ((i * 31 + j * 17) % 7 - 3) / 10D)").alias("w"))
+    merged = training.low_rank_merge(weights, adapter, 2.0)
+    total = F.aggregate("w", F.lit(0.0), lambda x, y: x + y)
+    return merged.select("layer", "i", F.round(total, 4).alias("total"), F.round(F.array_max("w"), 5).alias("largest"))
 
 
 def q38_model_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:

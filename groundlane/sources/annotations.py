@@ -80,7 +80,8 @@ def length(value: Column, kinds: Column) -> Column:
 
 def typed(items: DataFrame) -> DataFrame:
     """Of every item: dataset, split, file, place, query, answer, bbox and image_path in the declared types (null where a value has
-    another), the kind of each as {name}_kind, how long bbox and answer are, n_bad_boxes and item_fault.
+    another), the kind of each as {name}_kind, how long bbox and answer are (n_...), whether they count as none
+    (no_...), n_bad_boxes and item_fault.
 
     A bad box is no list of four numbers with a fraction: whole numbers and other counts pass the rules and fail where boxes are
     drawn. item_fault: `no_object`, an item that is no object; `no_image_path`, without a path as text; `no_length`, whose boxes or
@@ -100,17 +101,18 @@ def typed(items: DataFrame) -> DataFrame:
         F.coalesce(F.size(F.filter(number, bad)), F.lit(0)).alias("n_bad_boxes"),
     )
     rows = rows.withColumns({f"n_{n}": length(field(n), F.col(f"{n}_kind")) for n in ("bbox", "answer")})
-    unsized = [F.col(f"{n}_kind").isin("bigint", "decimal", "double", "boolean") & ~falsy(n) for n in ("bbox", "answer")]
+    rows = rows.withColumns({f"no_{n}": nothing(n) for n in ("bbox", "answer")})
+    unsized = [F.col(f"n_{n}").isNull() & ~F.col(f"no_{n}") for n in ("bbox", "answer")]
     fault = F.when(F.col("item_kind") != "object", ITEM_FAULTS[0]).when(F.col("image_path_kind") != "string", ITEM_FAULTS[1]).when(unsized[0] | unsized[1], ITEM_FAULTS[2])
     return rows.withColumn("item_fault", fault)
 
 
-def falsy(name: str) -> Column:
+def nothing(name: str) -> Column:
     """Whether a value counts as none: absent, null, empty, zero or false."""
-    nothing = F.expr(f"try_variant_get(item, '$.{name}', 'double')") == 0
+    zero = F.expr(f"try_variant_get(item, '$.{name}', 'double')") == 0
     off = ~F.expr(f"try_variant_get(item, '$.{name}', 'boolean')")
     k = F.col(f"{name}_kind")
-    by_kind = F.when(k.isin("bigint", "decimal", "double"), nothing).when(k == "boolean", off).otherwise(F.col(f"n_{name}") == 0)
+    by_kind = F.when(k.isin("bigint", "decimal", "double"), zero).when(k == "boolean", off).otherwise(F.col(f"n_{name}") == 0)
     return k.isin("absent", "null") | F.coalesce(by_kind, F.lit(False))
 
 
@@ -118,8 +120,8 @@ def strict_reason(has_image: Column) -> Column:
     """The first rule that a typed item fails, else null. An absent or empty query is empty, a null one is not."""
     return (
         F.when((F.col("query_kind") == "absent") | ((F.col("query_kind") == "string") & (F.col("query") == "")), "empty_query")
-        .when(falsy("bbox"), "empty_bbox")
-        .when(falsy("answer"), "empty_answer")
+        .when(F.col("no_bbox"), "empty_bbox")
+        .when(F.col("no_answer"), "empty_answer")
         .when(F.col("n_bbox") != F.col("n_answer"), "len_mismatch")
         .when(~has_image, "missing_image")
     )

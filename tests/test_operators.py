@@ -140,10 +140,13 @@ def test_training(spark):
     assert kept == {"run/chkp_300.pt", "run/peft_chkp_300", "run/chkp_40.pt", "run/peft_chkp_40", "run/peft_chkp_7", "run/notes.txt"}
     half = one(spark, training.learning_rate(F.lit(55), 1.0, 10, 100))
     assert half == pytest.approx(0.5) and one(spark, training.learning_rate(F.lit(100), 1.0, 10, 100)) == pytest.approx(0.0)
-    layers = lambda rows, names: spark.createDataFrame(rows, names)
-    w = layers([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (1, 0, 0, 5.0)], "layer int, i int, j int, w double")
-    b, a = layers([(0, 0, 0, 3.0), (0, 0, 1, 1.0)], "layer int, i int, k int, v double"), layers([(0, 0, 1, 10.0), (0, 1, 1, 7.0)], "layer int, k int, j int, v double")
-    assert {tuple(r) for r in training.low_rank_merge(w, a, b, 0.5).collect()} == {(0, 0, 0, 1.0), (0, 0, 1, 2.0 + 0.5 * 37), (1, 0, 0, 5.0)}
+    w = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [0.0, 0.0]), (1, 0, [5.0])], "layer int, i int, w array<double>")
+    adapter = "layer int, k int, a array<double>, b array<double>"
+    got = training.low_rank_merge(w, spark.createDataFrame([(0, 1, [0.0, 7.0], [1.0, 0.0]), (0, 0, [0.0, 10.0], [3.0, 2.0])], adapter), 0.5).collect()
+    assert {(r["layer"], r["i"], *r["w"]) for r in got} == {(0, 0, 1.0, 2.0 + 0.5 * 37), (0, 1, 0.0, 10.0), (1, 0, 5.0)}
+    for bad in (([0.0], [1.0, 0.0]), ([0.0, 7.0], [1.0])):
+        with pytest.raises(Exception, match="doesn't fit"):
+            training.low_rank_merge(w, spark.createDataFrame([(0, 0, *bad)], adapter), 0.5).collect()
     assert one(spark, training.family(F.lit("x/QWEN3-VL"))) == "qwen3"
     with pytest.raises(Exception, match="unsupported base model"):
         one(spark, training.family(F.lit("other")))
