@@ -7,9 +7,10 @@
 3. A bucket gives edges from one hub to its other members: the member that shares most buckets with others, as the original of a
    family does. So these pairs grow with bucket sizes, not with their squares.
 4. What that leaves apart is swept exactly. Members of buckets that still hold more than one component are listed under their rarest
-   shingles (prefix filter): of n shingles, ordered by how many members have them, the first n - ceil(s n) + 1. Two sets at similarity
-   s share one of these, and at the first one shared the rest of both is long enough. Within a list, stars go on while they link;
-   then every pair of members of different components that sizes and places allow is taken, in blocks of members against members.
+   shingles (prefix filter): of n shingles, ordered by how many members have them, the first n - ceil(s n) + 1 as the longer of two
+   sets and the first n - ceil(2 s n / (1 + s)) + 1 as the shorter. The first shingle that two sets at similarity s share is among
+   both. Lists without a row of a shorter set go; within the others, stars go on while they link; then every pair of a shorter and
+   a longer set of different components that sizes and places allow is taken, in blocks of members against members.
 5. Each pair is confirmed on the full shingle sets. Components are the smallest label over confirmed links.
 
 Chance: two sets at similarity s share no bucket with probability (1 - s**4) ** 32: under 1e-10 at 0.85, 5e-8 at 0.8. No other step
@@ -24,6 +25,7 @@ smallest doc_id; empty tables give empty results; other columns are ignored what
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,12 +79,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.DataFrame]:
+    """Smaller batches: the sets of one are held at a time."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, the set's name and size, and its bucket keys, of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(t, known) for t in b["text"]]
             names = [set_name(h) for h in sets]
             keys = [band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for h in sets]
@@ -97,7 +106,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(t, known) for t in b["text"]]
             right = np.array([set_name(h)[0] for h in sets], np.int64) == b["set_a"].to_numpy(np.int64)  # a doc_id may have other texts
             yield pd.DataFrame({"node": b["node"], "shingles": [h.view(np.int64) for h in sets]})[right]
@@ -181,7 +190,7 @@ def linked(rated: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lists = rare_lists(sets.join(light(unsettled), "node", "left_semi"), percent)
     turn = 0
     while True:
-        placed = saved(several(labelled(lists, labels)), "placed")
+        placed = saved(several(labelled(lists, labels), F.max("index")), "placed")
         # The first hub of a list is the one that shares most lists with others, further ones are drawn anew in each list.
         order = F.col("popularity") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         hub = placed.groupBy("key").agg(F.max(F.struct(order.alias("o"), (-F.col("node")).alias("_n"), "size", "at", "component")).alias("h"))
@@ -202,22 +211,27 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def several(placed: DataFrame) -> DataFrame:
-    """The members of keys that hold more than one component, with `members`, their number in the key."""
-    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    return placed.join(keys.select("key", "members"), "key")
+def several(placed: DataFrame, able: Column | None = None) -> DataFrame:
+    """The members of keys that hold more than one component and for which `able` holds."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.lit(True) if able is None else able).alias("able")).where("lo < hi AND able")
+    return placed.join(keys.select("key"), "key")
 
 
 def rare_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """key (a shingle), node, size, at (its place in the node's order from rare to common) and popularity; shingles of one node alone
-    take their places and give no row."""
+    """key (a shingle), node, size, at (its place in the node's order from rare to common), index and popularity; shingles of one node
+    alone take their places and give no row.
+
+    Two similar sets share at least percent / (100 + percent) of both sizes together. So at the first shingle that they share, as much
+    is left of the shorter one as 2 * percent / (100 + percent) of its size, and of the longer one percent / 100: rows that could be
+    the shorter set's are `index`, and the others are there for index rows to meet."""
     each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
     known = saved(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shingle-counts")
     ordered = each.join(light(known), "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("common"))
     placed = ordered.select("node", "size", F.size("common").alias("_c"), F.posexplode("common").alias("_p", "_s"))
     placed = placed.select(F.col("_s.key").alias("key"), "node", "size", (F.col("size") - F.col("_c") + F.col("_p")).alias("at"), F.col("_s.n").alias("n"))
-    first = saved(placed.where((F.col("size") - F.col("at")) * 100 >= F.col("size") * percent), "prefixes")
-    lists = saved(first.join(first.groupBy("node").agg(F.sum("n").alias("popularity")), "node").select("key", "node", "size", "at", "popularity"), "lists")
+    left = F.col("size") - F.col("at")
+    first = saved(placed.where(left * 100 >= F.col("size") * percent).withColumn("index", left * (100 + percent) >= F.col("size") * (2 * percent)), "prefixes")
+    lists = saved(first.join(first.groupBy("node").agg(F.sum("n").alias("popularity")), "node").select("key", "node", "size", "at", "index", "popularity"), "lists")
     dropped(known, first)
     return lists
 
@@ -240,15 +254,32 @@ def star(members: DataFrame, hubs: DataFrame, percent: int, apart: bool = False)
 
 
 def crossed(placed: DataFrame, percent: int) -> DataFrame:
-    """All distinct pairs (a, b) that share a list, are of different components and may be similar. A list of more than BLOCK members
-    is cut into blocks, and each two blocks meet in a cell of their own, so no task holds a whole crowded list."""
-    blocks = F.ceil(F.col("members") / BLOCK)
-    cut = placed.select("key", "node", "size", "at", "component", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    x = cut.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "size", "at", "component", "block")
-    y = x.select("key", "lo", "hi", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component", "block")])
-    pairs = x.join(y, ["key", "lo", "hi"]).where("node < y_node AND component <> y_component AND (lo = hi OR block <> y_block)")
+    """All distinct pairs (a, b) that share a list, are of different components and may be similar: an index row of the shorter set
+    with a row of the longer one.
+
+    Sizes fall into classes, of which similar sets have the same or the next, and lists are taken apart by the class of the shorter.
+    In each part the component with most members never meets itself, so that one large component costs no more than its meetings
+    with others. What still has more than BLOCK members is cut into blocks, and each two blocks meet in a cell of their own: no
+    task holds a whole crowded list."""
+    step = math.log(100 / percent * 1.000001)  # a little over the ratio, so that rounding can't part what may be similar
+    group = F.floor(F.log("size") / step)
+    shorter = placed.where("index").select("key", group.alias("class"), "node", "size", "at", "component", F.lit(True).alias("short"))
+    longer = placed.select("key", F.explode(F.array(group, group - 1)).alias("class"), "node", "size", "at", "component", F.lit(False).alias("short"))
+    per = shorter.unionAll(longer).groupBy("key", "class", "component").agg(F.count_if("short").alias("i"), F.count_if(~F.col("short")).alias("p"))
+    parts = per.groupBy("key", "class").agg(F.sum("i").alias("i"), F.sum("p").alias("p"), F.max_by("component", F.col("i") + F.col("p")).alias("main"), F.count("*").alias("n")).where("n > 1 AND i > 0")
+    cells = saved(parts.select("key", "class", "main", F.ceil(F.col("i") / BLOCK).alias("i"), F.ceil(F.col("p") / BLOCK).alias("p")), "cells")
+
+    def side(rows: DataFrame, own: str, other: str, main: list[int], rest: list[int]) -> DataFrame:
+        """Rows in each of the cells that they are in: meeting 0 is of the main component's shorter sets, 1 of its longer ones, 2 of none."""
+        meetings = F.when(F.col("component") == F.col("main"), F.array(*map(F.lit, main))).otherwise(F.array(*map(F.lit, rest)))
+        dealt = rows.join(light(cells), ["key", "class"]).withColumn(f"b_{own}", F.pmod(F.xxhash64("node"), F.col(own))).withColumn(f"b_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return dealt.select("key", "class", "b_i", "b_p", F.explode(meetings).alias("meeting"), "node", "size", "at", "component")
+
+    x, y = side(shorter, "i", "p", [0], [1, 2]), side(longer, "p", "i", [1], [0, 2])
+    y = y.select("key", "class", "b_i", "b_p", "meeting", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "at", "component")])
+    pairs = x.join(y, ["key", "class", "b_i", "b_p", "meeting"]).where("component <> y_component AND (size < y_size OR size = y_size AND node < y_node)")
     pairs = pairs.where(sized("size", "y_size", percent)).where(long_enough("size", "at", "y_size", "y_at", percent))
-    return pairs.select(F.col("node").alias("a"), F.col("y_node").alias("b")).distinct()
+    return pairs.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct()
 
 
 def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
