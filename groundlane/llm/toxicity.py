@@ -4,11 +4,13 @@ P(grade > k) = sigmoid(w.x - theta_k): one weight vector shared by all threshold
 The prediction is the expected severity, the sum of those probabilities (0 to the highest grade), and a document is toxic from CUT on.
 
 Features are whole words and their leading 4, 5 and 6 letters (inflected forms of a stem share them), with weight log(1 + count).
-They are chosen by how strongly they go with toxic labels. Grades are the values of the label `toxic`, 0 (clean) to K: K thresholds
-are fitted, one where labels only say 0 or 1, and values that no document has are no steps of the scale.
+Grades are the values of the label `toxic`, 0 (clean) to K: K thresholds are fitted, one where labels only say 0 or 1, and values that
+no document has are no steps of the scale. At each threshold the features that are MIN_RATIO times as frequent above it as below, in
+MIN_DOCS documents above at least, are candidates, so that words which part the higher grades are among them; the MAX_FEATURES
+strongest at any threshold are the model's. Only words that speak for severity are: clean words can't outweigh them.
 
-Fitting uses at most `max_rows` labelled documents (smallest hashes of doc_id, one text of each id), one per near-copy sketch, so that
-a large group of copies can't teach its incidental words. Prediction covers every document and its whole text.
+Fitting uses at most `max_rows` labelled documents that have a text (smallest hashes of doc_id, one text of each id), one per near-copy
+sketch, so that a large group of copies can't teach its incidental words. Prediction covers every document and its whole text.
 Edge cases: null and empty texts, and any text if no labels allow a fit, have severity 0; a doc_id with several labels has the
 highest of them; labels of unknown documents and null labels are ignored; repeated rows are scored each.
 """
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import saved
@@ -104,6 +106,8 @@ def fit_ordinal(rows: list[list[tuple[int, float]]], grades: np.ndarray, n_featu
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.greatest(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("grade"))
+    # Labels of documents that aren't there take no place in the sample.
+    known = known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     # At most max_rows narrow rows: safe to broadcast.
     chosen = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "toxicity-labels")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
@@ -118,21 +122,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     sample = sample.join(F.broadcast(firsts), ["sketch", "grade", "doc_id"]).select("grade", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[str, list[int]] = {"": [0, 0]}
+        n: Counter = Counter()
         for b in batches:
-            for t, y in zip(b["text"], (b["grade"] > 0).astype(int), strict=True):
-                n[""][y] += 1
-                for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)}:
-                    n.setdefault(f, [0, 0])[y] += 1
-        yield pd.DataFrame([(f, x, y) for f, (x, y) in n.items()], columns=["feature", "clean", "toxic"])
-
-    counts = saved(sample.mapInPandas(counted, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
-    total = counts.where("feature = ''").first()
-    if not total or not total["clean"] or not total["toxic"]:
+            for t, y in zip(b["text"], b["grade"].tolist(), strict=True):
+                n["", y] += 1
+                n.update((f, y) for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)})
+        yield pd.DataFrame([(f, y, k) for (f, y), k in n.items()], columns=["feature", "grade", "n"])
+
+    counts = saved(sample.mapInPandas(counted, "feature string, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n")), "toxicity-counts")
+    totals = {r["grade"]: r["n"] for r in counts.where("feature = ''").collect()}  # a row for each grade
+    steps = sorted(totals)[1:]
+    if not steps:
         return Model()
-    ratio = ((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
-    best = counts.where(f"feature <> '' AND toxic >= {MIN_DOCS}").withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
-    names = [r["feature"] for r in best.orderBy((F.col("toxic") * F.log("ratio")).desc(), "feature").limit(MAX_FEATURES).collect()]
+    n_docs = sum(totals.values())
+    above = {t: sum(n for g, n in totals.items() if g >= t) for t in steps}
+    whole = F.create_map(*[F.lit(x) for t, n in above.items() for x in (t, n)])
+    each = counts.where("feature <> ''").withColumn("all", F.sum("n").over(Window.partitionBy("feature")))
+    each = each.select("feature", "n", "all", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("grade"))).alias("step"))
+    per = each.groupBy("feature", "step").agg(F.sum("n").alias("high"), (F.first("all") - F.sum("n")).alias("low")).withColumn("whole", whole[F.col("step")])
+    ratio = ((F.col("high") + 0.5) / (F.col("whole") + 1)) / ((F.col("low") + 0.5) / (F.lit(n_docs) - F.col("whole") + 1))
+    able = per.where(F.col("high") >= MIN_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
+    best = able.groupBy("feature").agg(F.max(F.col("high") * F.log("ratio")).alias("strength"))
+    names = [r["feature"] for r in best.orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES).collect()]
     if not names:
         return Model()
     number = {f: i for i, f in enumerate(names)}
@@ -150,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             yield pd.DataFrame(out, columns=["grade", "at", "value"])
 
     rows = sorted((r["grade"], list(r["at"]), list(r["value"])) for r in sample.mapInPandas(vectors, "grade int, at array<int>, value array<double>").collect())  # max_rows short vectors
-    steps = {g: k for k, g in enumerate(sorted({y for y, _, _ in rows}))}
-    grades = np.array([steps[y] for y, _, _ in rows])
-    w, theta = fit_ordinal([list(zip(a, v, strict=True)) for _, a, v in rows], grades, len(names), len(steps))
+    place = {g: k for k, g in enumerate(sorted({y for y, _, _ in rows}))}
+    grades = np.array([place[y] for y, _, _ in rows])
+    w, theta = fit_ordinal([list(zip(a, v, strict=True)) for _, a, v in rows], grades, len(names), len(place))
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, [float(t) for t in theta])
 
 
