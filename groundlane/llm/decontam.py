@@ -4,7 +4,8 @@ The hashes of all 13-word windows of the benchmark (an item of fewer words is on
 windows of each document are looked up in it within one compiled stage, and only windows found there leave that stage, with their
 words. Equal words then confirm each hit and name the items.
 
-The set is broadcast while it has at most MAX_SET hashes (about 100 MB), which is counted first. Beyond that, window hashes are joined
+The set is broadcast while it has at most MAX_SET hashes (about 100 MB), and the windows' words while they have at most MAX_BYTES,
+both of which are counted first. Beyond that, window hashes are joined
 to the benchmark's by a shuffle of narrow rows, and the windows found take their words in a second reading. Both ways end in the same
 confirmation. `filtered` removes documents, `without_spans` cuts the hit words out of them.
 Edge cases: null and empty texts have no words and no hits; empty tables give empty or clean results; repeated items count once
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import LEAD, N_WORDS, alnum_split, alnum_words, light, nested, saved, unnested
 
-SIZE, MAX_SET = 13, 4_000_000
+SIZE, MAX_SET, MAX_BYTES = 13, 4_000_000, 100_000_000
 #: A word in its original case with what stands before it, and what stands after the last word.
 PLACED, TAIL = r"[^0-9A-Za-z\P{ASCII}]*[0-9A-Za-z\P{ASCII}]+", r"[^0-9A-Za-z\P{ASCII}]*$"
 
@@ -72,19 +73,23 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = saved(benchmark_windows(items), "decontam-benchmark")
     rows = saved(found_windows(docs, bench), "decontam-windows")
     hits = rows.where("start IS NOT NULL").select("doc_id", "text_hash", "start", "size", "window").distinct()
-    named = bench.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    true = hits.join(F.broadcast(named) if bench.count() <= MAX_SET else named, "window")
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 64), F.lit(0)).alias("n")).first()["n"]
+    named = F.broadcast(bench) if size <= MAX_BYTES else bench
+    true = hits.join(named.select("window"), "window", "left_semi")
+    # A window may stand in many items: its hits meet them once a document.
+    items_of = hits.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "window").distinct().join(named.select("window", F.col("item_id").cast("string").alias("id")), "window")
+    items_of = items_of.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
     # A hit opens a run where no earlier one of its document reaches it.
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "size")
     reached = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = true.withColumn("opens", F.coalesce((reached < F.col("start")).cast("int"), F.lit(1)))
     runs = opened.withColumn("run", F.sum("opens").over(order)).groupBy("doc_id", "text_hash", "run")
-    runs = runs.agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("end"), F.flatten(F.collect_set("ids")).alias("ids"))
+    runs = runs.agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("end"))
     per = runs.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(
         F.sum(F.col("end") - F.col("first")).cast("long").alias("n_hit"),
         F.array_sort(F.collect_list(F.struct(F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),
     )
+    per = per.withColumnsRenamed({"_d": "_e", "_t": "_u"}).join(items_of, F.col("_e").eqNullSafe(F.col("_d")) & (F.col("_u") == F.col("_t"))).drop("_e", "_u")
     out = rows.where("start IS NULL").select("doc_id", "text_hash", "n_words").join(per, same_text(), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(

@@ -44,6 +44,7 @@ def alnum(t):
 @pytest.mark.parametrize("most", [decontam.MAX_SET, 0])
 def test_decontamination_is_brute_force_both_ways(spark, docs, monkeypatch, most):
     monkeypatch.setattr(decontam, "MAX_SET", most)
+    monkeypatch.setattr(decontam, "MAX_BYTES", most)
     items = {1: ITEM, 2: "short item here", 3: "", 4: "hello world", 5: ITEM}
     bench = spark.createDataFrame([*items.items(), (None, ITEM), (6, None), (1, ITEM)], "item_id long, text string")
     windows = defaultdict(set)
