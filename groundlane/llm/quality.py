@@ -1,7 +1,8 @@
 """Quality rules: a ledger of measurements and failure bits, and versioned policies applied to it.
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one bit per failed rule, so that a new policy
-or an ablation is a bitwise pass over narrow rows and never reads a text again.
+or an ablation is a bitwise pass over narrow rows and never reads a text again: stored() writes it for them. filtered() is for where
+one policy alone is wanted: it applies the same bits in the pass that measures.
 
 Edge cases: a null or empty text has no words, all measurements are 0 and it fails `few_words`; repeated rows get one ledger row
 each; other columns of the input are ignored whatever their names; an empty table gives an empty ledger.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import nested, unnested, window_hashes
+from .base import nested, saved, unnested, window_hashes
 
 WINDOW = 8
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -128,6 +129,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.select("doc_id", *ledger_columns("m")).withColumn("fail_bits", fail_bits())
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table, without texts."""
+    return saved(ledger(docs), "quality-ledger")
+
+
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask)) == 0
 

@@ -45,13 +45,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    rows = quality.stored(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.STRICT).alias("kept"), "fail_bits",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in both policies, from one stored ledger."""
+    rows = quality.stored(table(spark, sf_dir, "documents"))
+    return quality.ablation(rows, quality.BASE).unionByName(quality.ablation(rows, quality.STRICT))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -83,7 +89,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_decontamination, op3_licences, op4_warc, op5_language,
         op6_packing, op7_quality, op8_near_duplicates, op9_token_ids, op10_token_counts,
-        op11_best_fit, op12_source_divergence, op13_conversation_repair,
+        quality_ablation, op11_best_fit, op12_source_divergence, op13_conversation_repair,
     )
 }
 #: Pieces of the SQL.
@@ -133,6 +139,13 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+RULES = ", ".join(f"('{p.version}', '{r.name}', {1 << k}, {p.mask})" for p in (quality.BASE, quality.STRICT) for k, r in enumerate(quality.RULES) if r.name in p.rules)
+ABLATION_SQL = f"""
+WITH ledger AS ({OP7_SQL})
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_fail, count(*) FILTER (fail_bits & mask = bit) AS n_fail_alone, count(*) FILTER (fail_bits & (mask - bit) = 0) AS n_kept_without
+FROM (VALUES {RULES}) r(policy, rule, bit, mask) LEFT JOIN ledger ON true GROUP BY policy, rule
+"""
+
 OP8_SQL = rf"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACED}') AS w FROM documents),
 shingle AS MATERIALIZED (
@@ -242,4 +255,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.con
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN text_of t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_conversation_repair": OP13_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_warc": OP4_SQL, "op7_quality": OP7_SQL, "quality_ablation": ABLATION_SQL, "op8_near_duplicates": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_conversation_repair": OP13_SQL}
