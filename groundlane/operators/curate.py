@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import check_split_size
 from ..functions.columns import half_even, hash32, hash_order
-from .tokens import rank_within
+from .tokens import first_by_hash, rank_within
 
 REASONS = ("empty_query", "empty_bbox", "empty_answer", "len_mismatch", "missing_image")
 
@@ -50,9 +50,8 @@ def filter_stats(rows: DataFrame) -> DataFrame:
 def sampled_groups(rows: DataFrame, size: int | float, seed: int = 117, key: str = "image_key") -> DataFrame:
     """Exactly `size` (a count, or a fraction rounded half to even) of each dataset's distinct images, in the order of a seeded hash."""
     check_split_size(size)
-    ranked = rank_within(rows.select("dataset", key).distinct(), ["dataset"], hash_order(seed, key), key, size="n")
-    wanted = F.lit(size) if isinstance(size, int) else half_even(F.col("n") * F.lit(size))
-    return ranked.where(F.col("rank") <= wanted).select("dataset", key)
+    wanted = lambda n: F.least(n, F.lit(size)) if isinstance(size, int) else half_even(n * F.lit(size))
+    return first_by_hash(rows.select("dataset", key).distinct(), ["dataset"], hash_order(seed, key), key, wanted)
 
 
 def group_split(rows: DataFrame, size: int | float, seed: int = 117, key: str = "image_key") -> DataFrame:
@@ -73,11 +72,12 @@ def prepared(judged_rows: DataFrame, own: float = 0.99, carved: float = 0.2, see
     gives `carved` of its train images to val."""
     has_val = judged_rows.groupBy("dataset").agg(F.max(F.col("split") == "val").alias("has_val"))
     rows = judged_rows.where("reject_reason IS NULL").join(has_val, "dataset")
-    # A dataset's images are drawn from one of its splits alone, so one ranking serves both rules.
+    # A dataset's images are drawn from one of its splits alone, so one draw serves both rules.
     pool = F.col("split") == F.when(F.col("has_val"), "val").otherwise("train")
-    ranked = rank_within(rows.where(pool).select("dataset", "image_key", "has_val").distinct(), ["dataset"], hash_order(seed, "image_key"), "image_key", size="n")
     share = F.when(F.col("has_val"), F.lit(own)).otherwise(F.lit(carved))
-    picked = ranked.where(F.col("rank") <= half_even(F.col("n") * share)).select("dataset", "image_key", F.lit(True).alias("_picked"))
+    images = rows.where(pool).select("dataset", "image_key", "has_val").distinct()
+    picked = first_by_hash(images, ["dataset", "has_val"], hash_order(seed, "image_key"), "image_key", lambda n: half_even(n * share))
+    picked = picked.select("dataset", "image_key", F.lit(True).alias("_picked"))
     chosen = pool & F.coalesce("_picked", F.lit(False))
     final = F.when(chosen, "val").when(F.col("has_val") & pool, "dropped").otherwise("train")
     return rows.join(picked, ["dataset", "image_key"], "left").withColumn("final_split", final).drop("has_val", "_picked")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def rank_within(rows: DataFrame, within: list[str], order: Column, ties: str, na
     return placed.join(sums, [*within, "_g"]).withColumn(name, F.col("_r") + F.col("_b")).drop("_o", "_g", "_r", "_b", "_s")
 
 
+def first_by_hash(rows: DataFrame, within: list[str], order: Column, ties: str, wanted: Callable[[Column], Column], digits: int = 4) -> DataFrame:
+    """Of each value of some columns, exactly the first wanted(n) of its n rows in the order of a hex hash. Counts of the hash's first
+    digits tell in which prefix the last of them lies: rows of lesser prefixes pass by a filter, and that prefix alone is ranked."""
+    held = rows.withColumn("_o", order).withColumn("_g", F.substring("_o", 1, digits))
+    whole = Window.partitionBy(*within)
+    sizes = held.groupBy(*within, "_g").agg(F.count("*").alias("_n"))
+    sums = sizes.select(*within, "_g", "_n", F.sum("_n").over(whole.orderBy("_g")).alias("_to"), wanted(F.sum("_n").over(whole)).alias("_wanted"))
+    edge = sums.where("_to >= _wanted AND _to - _n < _wanted").select(*within, F.col("_g").alias("_edge"), (F.col("_wanted") - F.col("_to") + F.col("_n")).alias("_need"))
+    near = held.join(edge, within)  # a row for each value: Catalyst broadcasts it if it is small
+    last = near.where("_g = _edge").withColumn("_r", F.row_number().over(whole.orderBy("_o", ties))).where("_r <= _need").drop("_r")
+    return near.where("_g < _edge").unionByName(last).select(*rows.columns)
+
+
 def running_sum(rows: DataFrame, order: str, value: Column, name: str, ranges: int = 256, ties: str | None = None) -> DataFrame:
     """The sum of `value` over all rows up to and including each, in the order of a numeric column: a prefix sum over ranges. Quantiles
     cut the column into ranges, the sums of these are summed up before them, and each range is summed on its own; no task sees all

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.columns import last_segment
+from ..functions.columns import hash32, last_segment
 from ..operators import curate, templates
 from ..sources import bindings
+from ..sources.shared import written
 
 #: SQL of the bindings: items with image_key and reject_reason.
 ITEMS = """
@@ -62,9 +63,10 @@ def q01_discover_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q02_explode_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per image, parsed with the declared schema and exploded."""
+    """JSON documents of about a hundred items, parsed with the declared schema and exploded."""
     items = bindings.items(spark, sf_dir)
-    docs = items.groupBy("image_path").agg(F.to_json(F.struct(F.collect_list(F.struct("query", "answer", "bbox", "image_path")).alias("items"))).alias("json"))
+    n = bindings.table(spark, sf_dir, "orders").count() // 100 + 1
+    docs = items.groupBy((hash32("doc", "item_id") % n).alias("document")).agg(F.to_json(F.struct(F.collect_list(F.struct("query", "answer", "bbox", "image_path")).alias("items"))).alias("json"))
     rows = docs.select(F.from_json("json", schemas.DOCUMENT).alias("d")).select(F.inline("d.items"))
     return rows.groupBy("image_path", "query").agg(F.count("*").alias("n_items"), F.sum(F.size("bbox")).alias("n_boxes"), F.sum(F.size("answer")).alias("n_answers"))
 
@@ -83,10 +85,11 @@ def q05_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q06_union_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per dataset, running totals over datasets, and the first query."""
-    rows = curate.require_rows(curate.kept(bindings.items(spark, sf_dir), bindings.images(spark, sf_dir)), "the kept set")
+    rows = curate.kept(bindings.items(spark, sf_dir), bindings.images(spark, sf_dir))
     per = rows.groupBy("dataset").agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"), F.left(F.min_by("query", "item_id"), F.lit(50)).alias("first_query")
     )
+    per = curate.require_rows(written(per, "dataset-totals"), "the kept set")  # a row for each dataset, made once
     so_far = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, 0)  # one row per dataset
     return per.withColumns({"total_train": F.sum("n_train").over(so_far), "total_val": F.sum("n_val").over(so_far)})
 

@@ -192,3 +192,12 @@ def test_split_guards(spark):
     with pytest.warns(UserWarning):
         curate.checked_splits(some, none)
     assert boxes.with_box_text(spark.sql("SELECT array(1, 2, 3, 4) AS box")).first()["box_str"] == "<box> 1 2 3 4 </box>"
+
+
+def test_the_first_by_hash_are_the_first_of_a_full_ranking(spark):
+    rows = spark.range(700).selectExpr("concat('d', id % 5) AS dataset", "concat('i', id % 311) AS image_key").union(spark.sql("SELECT 'one', 'i'")).distinct()
+    order = lambda: F.md5(F.concat(F.lit("7|"), "image_key"))
+    ranked = tokens.rank_within(rows, ["dataset"], order(), "image_key", size="n").collect()
+    for wanted, count in ((lambda n: F.lit(0), lambda n: 0), (lambda n: F.lit(1), lambda n: 1), (lambda n: n, lambda n: n), (lambda n: F.floor(n / 3), lambda n: n // 3)):
+        got = tokens.first_by_hash(rows, ["dataset"], order(), "image_key", wanted, digits=2)
+        assert sorted(map(tuple, got.collect())) == sorted((r["dataset"], r["image_key"]) for r in ranked if r["rank"] <= count(r["n"]))
