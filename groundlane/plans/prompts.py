@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boxes, curate, geometry, templates
+from ..operators import boxes, collate, curate, geometry, templates, tokens
 from ..sources import bindings
 from .curation import ASSIGNED, ITEMS, SYSTEM
 from .geometry import RESIZED_28
@@ -75,6 +75,27 @@ def q25_image_token_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.length(out).cast("bigint").alias("n_chars"), F.md5(out).alias("prompt_md5"))
 
 
+def q45_chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two chat texts of each item for the family with image tokens in the text: the prompt up to an opened assistant turn, and all."""
+    turns = collate.tiled_turns(F.col("item_id") % 3 + 1, 4)
+    texts = _rendered(spark, sf_dir).select("item_id", collate.chatml(templates.prompt_only(turns), True).alias("prompt"), collate.chatml(turns).alias("full"))
+    return texts.select("item_id", F.md5("prompt").alias("prompt_md5"), F.md5("full").alias("full_md5"), F.length("full").cast("bigint").alias("n_chars"))
+
+
+def q46_chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded batches of four items in epoch order, in tokens of a public vocabulary, for both families."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = tokens.batches(tokens.epoch_order(_rendered(spark, sf_dir), 117, "item_id"), 4)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(f"{c}_md5")
+    found = []
+    for family in ("qwen3", "internvl"):
+        out = collate.collated(collate.labelled(rows, family, path, F.col("item_id") % 3 + 1, 4), pad_id=50_256)
+        found.append(out.select("item_id", F.lit(family).alias("family"), "batch_id", F.size("ids").cast("bigint").alias("n_tokens"), digest("ids"), digest("attention"), digest("labels")))
+    return found[0].unionAll(found[1])
+
+
 #: SQL pieces: scaled corners and box texts of one box or a list of them.
 BOX = "list_transform({box}, lambda c: CAST(round_even(c * 1000, 0) AS BIGINT))"
 BOX_STR = f"'<box> ' || array_to_string({BOX}, ' ') || ' </box>'"
@@ -98,6 +119,9 @@ SQL = {
     "q18_render_box": f"{ALL} SELECT item_id, user_text, assistant_text FROM rendered WHERE template <> 'answerBox'",
     "q19_messages": f"""{ALL}, {RESIZED_28}, n AS (SELECT max(image_id) AS n FROM size) SELECT item_id, md5('system:text=' || system_text || chr(10) || 'user:image=' || image_path || '+text=Image Size: (' || rw || ', ' || rh || ')' || chr(10) || '+text=' || user_text
       || chr(10) || 'assistant:text=' || assistant_text) AS messages_md5, CAST(3 AS BIGINT) AS n_messages FROM rendered CROSS JOIN n JOIN resized ON image_id = item_id % n.n + 1""",
+    "q45_chat_text": f"""{ALL}, p AS (SELECT item_id, '<|im_start|>system' || chr(10) || system_text || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<img>' || repeat('<IMG_CONTEXT>', CAST((item_id % 3 + 1) * 4 AS INTEGER)) || '</img>'
+        || chr(10) || user_text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt, assistant_text || '<|im_end|>' || chr(10) AS rest FROM rendered)
+      SELECT item_id, md5(prompt) AS prompt_md5, md5(prompt || rest) AS full_md5, CAST(length(prompt || rest) AS BIGINT) AS n_chars FROM p""",
     "q20_prompt_vs_full": """SELECT conv_id, md5(coalesce(string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '')) AS prompt_md5,
       md5(string_agg('<|' || role || '|>' || text, chr(10) ORDER BY turn)) AS full_md5 FROM conversations GROUP BY conv_id""",
     "q25_image_token_prompt": """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<image>' || text || '<image>' ELSE text END AS prompt FROM conversations WHERE role = 'user'),
@@ -105,4 +129,5 @@ SQL = {
       o AS (SELECT conv_id, turn, substr(whole, 1, instr(whole, '<image>') - 1) || '<img>' || repeat('<IMG_CONTEXT>', CAST((conv_id % 3 + 1) * 4 AS INTEGER)) || '</img>' || substr(whole, instr(whole, '<image>') + 7) AS t FROM w)
       SELECT conv_id, turn, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS prompt_md5 FROM o""",
 }
-QUERIES = {k: globals()[k] for k in SQL}
+#: Tokens of a library are no SQL: tests hold q46 against it.
+QUERIES = {k: globals()[k] for k in [*SQL, "q46_chat_batches"]}

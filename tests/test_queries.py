@@ -5,7 +5,7 @@ from groundlane.plans import registry
 from .compare import assert_same
 
 
-@pytest.mark.parametrize("name", registry.QUERIES)
+@pytest.mark.parametrize("name", registry.SQL)
 def test_query_equals_sql(spark, name):
     assert_same(spark, registry.QUERIES[name], registry.SQL[name])
 
