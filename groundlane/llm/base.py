@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import removed, shared_dir
+
 #: Runs of characters that separate words of [0-9a-z] and everything beyond ASCII, after A-Z are lower-cased.
 ALNUM_BREAKS = r"[^0-9a-z\P{ASCII}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where the session names none, under its warehouse, which executors share too."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else None
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/groundlane/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df once to the shared folder and reads it from there: later uses don't recompute it, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, name)
@@ -41,8 +30,7 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that saved() returned and that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.saved_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(t.sparkSession, t.saved_at)
 
 
 #: Rows of a few numbers that a broadcast may have.

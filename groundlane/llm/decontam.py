@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import LEAD, N_WORDS, alnum_split, alnum_words, light, nested, saved, unnested
+from .base import LEAD, N_WORDS, alnum_split, alnum_words, dropped, light, nested, saved, unnested
 
 SIZE, MAX_SET, MAX_BYTES = 13, 4_000_000, 100_000_000
 #: A word in its original case with what stands before it, and what stands after the last word.
@@ -68,10 +68,13 @@ def same_text() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, item_ids (sorted), spans (first word from 0 and length of each hit run) and contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, item_ids (sorted), spans (first word from 0 and length of each hit run) and contaminated.
+    `held` gets the written tables that this is read from."""
     bench = saved(benchmark_windows(items), "decontam-benchmark")
     rows = saved(found_windows(docs, bench), "decontam-windows")
+    if held is not None:
+        held += [bench, rows]
     hits = rows.where("start IS NOT NULL").select("doc_id", "text_hash", "start", "size", "window").distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 64), F.lit(0)).alias("n")).first()["n"]
     named = F.broadcast(bench) if size <= MAX_BYTES else bench
@@ -111,7 +114,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns. What is removed is a small part: texts move only if it has
     more rows than may be broadcast."""
-    bad = saved(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
+    held: list[DataFrame] = []
+    bad = saved(contamination(docs, items, held).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "contaminated")
+    dropped(*held)
     return unnested(keyed(docs).join(light(bad), same_text(), "left_anti"))
 
 

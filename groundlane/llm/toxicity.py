@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import saved
+from .base import dropped, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -117,23 +117,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         for b in batches:
             yield pd.DataFrame({"sketch": [sketch(WORD.findall(t.lower())) for t in b["text"]], "grade": b["grade"], "doc_id": b["doc_id"], "text": b["text"]})
 
-    sample = saved(texts.mapInPandas(sketched, "sketch long, grade int, doc_id long, text string"), "toxicity-sample")
-    firsts = sample.groupBy("sketch", "grade").agg(F.min("doc_id").alias("doc_id"))
-    sample = sample.join(F.broadcast(firsts), ["sketch", "grade", "doc_id"]).select("grade", "text")
+    marked = saved(texts.mapInPandas(sketched, "sketch long, grade int, doc_id long, text string"), "toxicity-sample")
+    dropped(chosen)
+    try:
+        return fitted(marked)
+    finally:
+        dropped(marked)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for b in batches:
-            for t, y in zip(b["text"], b["grade"].tolist(), strict=True):
-                n["", y] += 1
-                n.update((f, y) for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)})
-        yield pd.DataFrame([(f, y, k) for (f, y), k in n.items()], columns=["feature", "grade", "n"])
 
-    counts = saved(sample.mapInPandas(counted, "feature string, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n")), "toxicity-counts")
+def chosen_features(counts: DataFrame) -> list[str]:
+    """The features of a model by counts (feature, grade, n) of a sample's documents, `''` being all of them; strongest first."""
     totals = {r["grade"]: r["n"] for r in counts.where("feature = ''").collect()}  # a row for each grade
     steps = sorted(totals)[1:]
     if not steps:
-        return Model()
+        return []
     n_docs = sum(totals.values())
     above = {t: sum(n for g, n in totals.items() if g >= t) for t in steps}
     whole = F.create_map(*[F.lit(x) for t, n in above.items() for x in (t, n)])
@@ -143,7 +140,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     ratio = ((F.col("high") + 0.5) / (F.col("whole") + 1)) / ((F.col("low") + 0.5) / (F.lit(n_docs) - F.col("whole") + 1))
     able = per.where(F.col("high") >= MIN_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO)
     best = able.groupBy("feature").agg(F.max(F.col("high") * F.log("ratio")).alias("strength"))
-    names = [r["feature"] for r in best.orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES).collect()]
+    return [r["feature"] for r in best.orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES).collect()]
+
+
+def fitted(marked: DataFrame) -> Model:
+    """The model of a sample (sketch, grade, doc_id, text)."""
+    firsts = marked.groupBy("sketch", "grade").agg(F.min("doc_id").alias("doc_id"))
+    sample = marked.join(F.broadcast(firsts), ["sketch", "grade", "doc_id"]).select("grade", "text")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for b in batches:
+            for t, y in zip(b["text"], b["grade"].tolist(), strict=True):
+                n["", y] += 1
+                n.update((f, y) for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)})
+        yield pd.DataFrame([(f, y, k) for (f, y), k in n.items()], columns=["feature", "grade", "n"])
+
+    counts = saved(sample.mapInPandas(counted, "feature string, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n")), "toxicity-counts")
+    try:
+        names = chosen_features(counts)
+    finally:
+        dropped(counts)
     if not names:
         return Model()
     number = {f: i for i, f in enumerate(names)}
