@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from groundlane.llm import decontam, neardup, packing, quality, toxicity
-from groundlane.llm.base import saved, table
+from groundlane.llm.base import dropped, saved, table
 from groundlane.llm.queries import tokenizer
 
 
@@ -59,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "saved_at"):
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
