@@ -14,7 +14,7 @@ from . import logs
 from .config import MergeSettings, RunSettings, parsed
 from .operators import curate, templates, tokens, training
 from .sources import annotations, checkpoints, items, shards
-from .sources.shared import put, text_of
+from .sources.shared import put, text_of, written
 
 #: Validation rows of a dataset at most.
 MOST_VALIDATION = 500
@@ -38,6 +38,7 @@ def prepare(spark: SparkSession, settings: RunSettings) -> dict[str, int]:
     logging.info("settings %s", settings)
     out = settings.output_dir.rstrip("/")
     judged = curate.judged(folder_items(spark, settings.dataset_dir), items.image_listing(spark, settings.dataset_dir), annotations.strict_reason, segments=4)
+    judged = written(judged, "judged")  # files are read once
     curate.filter_stats(judged).write.mode("overwrite").json(f"{out}/filter_stats")
     named = templates.assigned(curate.prepared(judged)).select("item_id", "dataset", "final_split", "image_path", "query", "answer", "bbox", "tag")
     named.write.mode("overwrite").parquet(f"{out}/prepared")
