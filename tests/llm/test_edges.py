@@ -157,7 +157,9 @@ def test_near_duplicates_within_a_template(spark, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 150 if i == 151 else i for i in range(302)}
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [warc.REVISITS, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "REVISITS", most)
     page = "<p>" + "x" * 200
     data = [(1, "http://a/ b", page), (2, None, page), (3, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", "é" * 60), (6, "u", "é" * 60), (None, "u", page), (0, "http://z", page)]
     pages = spark.createDataFrame([(*r, 1) for r in data], "page_id long, url string, html string, digest int")
@@ -219,9 +221,12 @@ def test_toxicity(spark, docs):
     assert toxicity.graded(docs, toxicity.fit(docs, labels.limit(0))).where("severity <> 0").isEmpty()
 
 
-def test_packing(spark, docs):
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_packing(spark, docs, request, most):
     from tokenizers import Tokenizer
 
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     t = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     out = packing.packed(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), tokenizer("word_bpe_49k.json")).toPandas()
     for i, text in enumerate(TEXTS):
