@@ -30,7 +30,8 @@ def folder_items(spark: SparkSession, root: str) -> DataFrame:
 
 def prepare(spark: SparkSession, settings: RunSettings) -> dict[str, int]:
     """From annotation folders to what a trainer reads, under output_dir: the rules' counts (filter_stats), the validation rows
-    (validation) and the epoch's batches as shards (train-{step}), from the latest checkpoint's step on where settings ask for it.
+    (validation), the learning rate and the saves of each optimizer step (schedule) and the epoch's batches as shards (train-{step}),
+    from the latest checkpoint's step on where settings ask for it.
 
     Rules, splits, caps, templates and order are those of the operators; broken files end the run by name. Returns how many rows
     and batches there are."""
@@ -48,7 +49,13 @@ def prepare(spark: SparkSession, settings: RunSettings) -> dict[str, int]:
     step = checkpoints.resumed(spark, f"{out}/checkpoints", settings)["global_step"]
     manifest = shards.write_shards(tokens.epoch(train, settings, "item_id", step), f"{out}/train-{step}")
     n_train = manifest.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
-    found = {"n_train": n_train, "n_validation": spark.read.parquet(f"{out}/validation").count(), "global_step": step, "n_batches": -(-n_train // settings.batch_size)}
+    n_full = F.lit(train.count())
+    n_batches, n_steps = training.step_counts(n_full, settings.batch_size, settings.epochs, settings.gradient_accumulation)
+    total = spark.range(1).select(n_batches.alias("n_batches"), n_steps.alias("n_steps")).first()
+    rate = training.learning_rate(F.col("step"), settings.lr, settings.num_warmup_steps, total["n_steps"])
+    saves = (F.col("step") % settings.num_save_steps == 0) & (F.col("step") > 0)
+    spark.range(total["n_steps"] + 1).select(F.col("id").alias("step")).withColumns({"lr": rate, "saves": saves}).write.mode("overwrite").parquet(f"{out}/schedule")
+    found = {"n_train": n_train, "n_validation": spark.read.parquet(f"{out}/validation").count(), "global_step": step, "n_batches": -(-n_train // settings.batch_size), "n_steps": total["n_steps"]}
     logging.info("prepared %s", found)
     return found
 

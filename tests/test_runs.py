@@ -38,8 +38,10 @@ def test_prepare_and_resume(spark, tmp_path):
     assert stats["one", "train"]["total"] == 90 and stats["one", "train"]["missing_image"] == 6 and stats["one", "train"]["kept"] == 54 and stats["one", "val"]["kept"] == 10
     # `one` keeps its train rows and has validation rows of its own; a fifth of the images of `two` goes to validation.
     rows = shards.read_shards(spark, f"{out}/train-0").collect()
-    assert found == {"n_train": len(rows), "n_validation": 10 + 2 * 5, "global_step": 0, "n_batches": -(-len(rows) // 4)} and len(rows) == 54 + 2 * 22
+    assert found == {"n_train": len(rows), "n_validation": 10 + 2 * 5, "global_step": 0, "n_batches": -(-len(rows) // 4), "n_steps": len(rows) // 4 // 2} and len(rows) == 54 + 2 * 22
     assert sorted(r["rank"] for r in rows) == [*range(1, len(rows) + 1)]
+    schedule = {r["step"]: r for r in spark.read.parquet(f"{out}/schedule").collect()}
+    assert len(schedule) == len(rows) // 8 + 1 and schedule[5]["lr"] == pytest.approx(5 / 25 * 1e-4) and [s for s in sorted(schedule) if schedule[s]["saves"]] == [5, 10]
     images = lambda rs: {(r["dataset"], r["image_path"]) for r in rs}
     assert not images(rows) & images(spark.read.parquet(f"{out}/validation").collect())
     checkpoints.publish(f"{out}/checkpoints", 10, checkpoints.trainer_state(spark, settings, 10, 5, 0.5))
