@@ -11,7 +11,8 @@ advances one turn of all its segments at a time and keeps, for each grammar stat
 least cost and audit. Segments of long conversations are then composed, at most FAN of them in a group, until one is left for each
 conversation. This is exact: two audits of equal cost over the same rows are never prefixes of each other, as what follows the prefix
 would be insertions, which cost; so the lesser stays the lesser whatever follows. A conversation of any length is spread over tasks;
-its audit, a letter a turn, is one string as the result asks. Texts meet their audit on (conversation, position), never by conversation.
+its audit, a letter a turn, is one string as the result asks. The states that it passes name the way of each segment, and texts meet
+these on (conversation, position), never by conversation.
 
 Edge cases: nulls in role and text count as one space, a null conversation id is a conversation, null turns come first; a role that is
 neither s, u nor a by its initial can be kept nowhere; equal rows are interchangeable, all but the first are duplicates; long texts
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ INITIALS, FAULTS = "suax", ("", "truncated", "blank", "duplicate")
 #: States: nothing yet, after s, after u, after a. MOVES[state][initial] is the next one.
 MOVES = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 ACCEPTED = (0, 3)
-PATHS = "conv string, seg long, start int, state int, cost long, audit string, made string"
+#: What a way over a segment is: from one state to another, at what cost, with which edits. `made` is what these make of the rows;
+#: `states`, of a group of segments, the state after each of them, a digit each.
+WAYS = "conv string, seg long, start int, state int, cost long, audit string, "
 
 
 def letter(fault: int, initial: str) -> str:
@@ -162,19 +166,19 @@ SELECT id, start, state, cost, audit, made FROM walk WHERE i = length(codes)"""
 COMPOSE = """
 WITH RECURSIVE step AS MATERIALIZED (SELECT id, n, unnest(steps, recursive := true) FROM batch),
 walk AS (
-  SELECT id, n, 0 AS place, b AS origin, b AS now, 0::BIGINT AS spent, '' AS edits, '' AS makes
+  SELECT id, n, 0 AS place, b AS origin, b AS now, 0::BIGINT AS spent, '' AS edits, '' AS passed
   FROM (SELECT DISTINCT id, n, start AS b FROM step WHERE i = 0)
   UNION ALL
-  SELECT id, n, place, origin, now, best.cost, best.audit, best.made FROM (
+  SELECT id, n, place, origin, now, best.cost, best.audit, best.states FROM (
     SELECT w.id, w.n, w.place + 1 AS place, w.origin, s.state AS now,
-      min({'cost': spent + cost, 'audit': edits || audit, 'made': makes || made}) AS best
+      min({'cost': spent + cost, 'audit': edits || audit, 'states': passed || states}) AS best
     FROM walk w JOIN step s ON s.id = w.id AND s.i = w.place AND s.start = w.now WHERE w.place < w.n GROUP BY w.id, w.n, w.place, w.origin, s.state)
 )
-SELECT id, origin AS start, now AS state, spent AS cost, edits AS audit, makes AS made FROM walk WHERE place = n"""
+SELECT id, origin AS start, now AS state, spent AS cost, edits AS audit, passed AS states FROM walk WHERE place = n"""
 
 
-def recursed(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """The paths of a recursive query over each batch of rows (conv, seg and `columns`)."""
+def recursed(rows: DataFrame, query: str, columns: list[str], last: str) -> DataFrame:
+    """The ways that a recursive query finds in each batch of rows (conv, seg and `columns`), with their `last` column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -190,42 +194,61 @@ def recursed(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
                     db.unregister("batch")
                     at = out["id"].combine_chunks()
                     names = {"conv": b["conv"].take(at), "seg": b["seg"].take(at)}
-                    found = {c: out[c].combine_chunks().cast(t) for c, t in (("start", pa.int32()), ("state", pa.int32()), ("cost", pa.int64()), ("audit", pa.string()), ("made", pa.string()))}
+                    found = {c: out[c].combine_chunks().cast(t) for c, t in (("start", pa.int32()), ("state", pa.int32()), ("cost", pa.int64()), ("audit", pa.string()), (last, pa.string()))}
                     yield pa.record_batch(names | found)
 
-    return rows.select("conv", "seg", *columns).mapInArrow(run, PATHS)
+    return rows.select("conv", "seg", *columns).mapInArrow(run, f"{WAYS}{last} string")
 
 
-def audited(rows: DataFrame, size: int = SEGMENT, fan: int = FAN) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Of each conversation: conv, gaps, blank, duplicate, truncated, illegal, cost, audit and made; the numbered rows; and the written
-    tables that both read."""
+@dataclass(frozen=True)
+class Repairs:
+    """`audits`: conv, gaps, blank, duplicate, truncated, illegal, cost, audit, states and tail (roles inserted at the end) of each
+    conversation. `ways`: those of each segment. `rows`: the numbered rows. `held`: the written tables that all are read from."""
+
+    audits: DataFrame
+    ways: DataFrame
+    rows: DataFrame
+    size: int
+    held: list[DataFrame]
+
+
+def repairs(rows: DataFrame, size: int = SEGMENT, fan: int = FAN) -> Repairs:
     numbered, turns = faulty(rows)
     marked = saved(judged(numbered), "faults")
     cut = saved(segments(marked, size), "segments")
-    paths = saved(recursed(cut, ADVANCE, ["codes"]), "paths")
-    while not paths.where("seg > 0").isEmpty():
-        steps = F.struct((F.col("seg") % fan).alias("i"), "start", "state", "cost", "audit", "made")
-        groups = paths.groupBy("conv", F.expr(f"seg div {fan}").alias("seg")).agg((F.max(F.col("seg") % fan) + 1).alias("n"), F.collect_list(steps).alias("steps"))
-        longer = saved(recursed(groups, COMPOSE, ["n", "steps"]), "paths")
-        dropped(paths)
-        paths = longer
-    cost, audit, made = (F.element_at(F.create_map(*[y for x in endings() for y in (F.lit(x[0]), F.lit(x[k]))]), F.col("state")) for k in (1, 2, 3))
-    best = paths.groupBy("conv").agg(F.min(F.struct((F.col("cost") + cost).alias("cost"), F.concat("audit", audit).alias("audit"), F.concat("made", made).alias("made"))).alias("best"))
+    ways = saved(recursed(cut, ADVANCE, ["codes"], "made"), "ways")
+    walks = ways.select("conv", "seg", "start", "state", "cost", "audit", F.col("state").cast("string").alias("states"))
+    made = []
+    while not walks.where("seg > 0").isEmpty():
+        steps = F.struct((F.col("seg") % fan).alias("i"), "start", "state", "cost", "audit", "states")
+        groups = walks.groupBy("conv", F.expr(f"seg div {fan}").alias("seg")).agg((F.max(F.col("seg") % fan) + 1).alias("n"), F.collect_list(steps).alias("steps"))
+        walks = saved(recursed(groups, COMPOSE, ["n", "steps"], "states"), "walks")
+        dropped(*made)
+        made = [walks]
+    cost, edits, tail = (F.element_at(F.create_map(*[y for x in endings() for y in (F.lit(x[0]), F.lit(x[k]))]), F.col("state")) for k in (1, 2, 3))
+    end = F.struct((F.col("cost") + cost).alias("cost"), F.concat("audit", edits).alias("audit"), "states", tail.alias("tail"))
+    best = walks.groupBy("conv").agg(F.min(end).alias("best"))
     counts = marked.groupBy("conv").agg(
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).cast("long").alias("gaps"),
         *[F.sum(F.expr(f"IF(fault = {k}, 1L, 0L)")).alias(name) for k, name in enumerate(FAULTS) if k],
     )
     illegal = cut.groupBy("conv").agg(F.sum("illegal").alias("illegal"))
     out = saved(counts.join(illegal, "conv").join(best, "conv").select("conv", "gaps", "blank", "duplicate", "truncated", "illegal", "best.*"), "audits")
-    dropped(marked, cut, paths)
-    return out, numbered, [out, turns]
-
-
-def repaired(audits: DataFrame, numbered: DataFrame) -> DataFrame:
-    """conv, pos, k, role and text of the repaired conversations' turns, in order of pos and k."""
-    ways = audits.select("conv", F.posexplode(F.expr("regexp_extract_all(made, '[UA]*[ua=-]|[UA]+$', 0)")).alias("place", "way"))
-    ways = ways.select("conv", F.col("place").cast("long").alias("pos"), "way").where("way <> '-'")
-    both = ways.join(numbered.select("conv", "pos", "role", "text"), ["conv", "pos"], "left")
+    dropped(marked, cut, *made)
+    return Repairs(out, ways, numbered, size, [out, ways, turns])
+
+
+def repaired(r: Repairs) -> DataFrame:
+    """conv, pos, k, role and text of the repaired conversations' turns, in order of pos and k. The states that a conversation passes
+    name the way of each of its segments, so that no row holds more of what is made than a segment's."""
+    digits = lambda c: F.split(c, "(?<=.)(?=.)")
+    both = F.arrays_zip(digits(F.concat(F.lit("0"), "states")).alias("start"), digits(F.col("states")).alias("state"))
+    passed = r.audits.select("conv", F.posexplode(both).alias("seg", "s")).where("s.state IS NOT NULL")
+    passed = passed.select("conv", F.col("seg").cast("long").alias("seg"), F.col("s.start").cast("int").alias("start"), F.col("s.state").cast("int").alias("state"))
+    own = r.ways.join(passed, ["conv", "seg", "start", "state"]).select("conv", "seg", F.posexplode(F.expr("regexp_extract_all(made, '[UA]*[ua=-]', 0)")).alias("place", "way"))
+    tails = r.audits.where("tail <> ''").select("conv", F.lit(2**62).alias("pos"), F.col("tail").alias("way"))
+    ways = own.select("conv", (F.col("seg") * r.size + F.col("place")).alias("pos"), "way").where("way <> '-'").unionAll(tails)
+    both = ways.join(r.rows.select("conv", "pos", "role", "text"), ["conv", "pos"], "left")
     turns = both.select("conv", "pos", "text", "role", F.posexplode(F.split("way", "(?<=.)(?=.)")).alias("k", "sign")).where("sign <> '-'")
     name = F.when(F.lower("sign") == "u", "user").when(F.lower("sign") == "a", "assistant").otherwise(F.col("role"))
     return turns.select("conv", "pos", "k", name.alias("role"), F.when(F.col("sign").isin("U", "A"), "").otherwise(F.col("text")).alias("text"))
@@ -272,10 +295,9 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def report(originals: DataFrame, rows: DataFrame, size: int = SEGMENT, fan: int = FAN) -> DataFrame:
     """A row for every conv_id of `originals`: what was wrong in `rows`, the repair's cost and audit, and the digest of the result."""
-    audits, numbered, held = audited(rows, size, fan)
-    hashes = digests(repaired(audits, numbered))
+    found = repairs(rows, size, fan)
     ids = originals.select(F.col("`conv_id`").alias("conv_id")).distinct().withColumn("conv", conv_name(F.col("conv_id")))
-    whole = saved(ids.join(audits.drop("made"), "conv", "left").join(hashes, "conv", "left"), "repairs")
-    dropped(*held)
+    whole = saved(ids.join(found.audits.drop("states", "tail"), "conv", "left").join(digests(repaired(found)), "conv", "left"), "repairs")
+    dropped(*found.held)
     zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return whole.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

@@ -102,8 +102,8 @@ def test_a_long_conversation_is_composed_of_segments(spark):
 
 def test_repaired_turns_and_no_rows(spark):
     df = spark.createDataFrame(wide([(1, 0, "user", "A."), (1, 1, "user", "B."), (1, 2, "assistant", " ")]), SCHEMA)
-    audits, numbered, _ = conversations.audited(df)
-    assert [(r["role"], r["text"]) for r in conversations.repaired(audits, numbered).orderBy("pos", "k").collect()] == [("user", "A."), ("assistant", "B.")]
+    turns = conversations.repaired(conversations.repairs(df)).orderBy("pos", "k").collect()
+    assert [(r["role"], r["text"]) for r in turns] == [("user", "A."), ("assistant", "B.")]
     gone = found(conversations.report(df, df.limit(0)))
     assert gone == {1: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
     assert conversations.report(df.limit(0), df.limit(0)).count() == 0
