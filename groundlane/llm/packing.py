@@ -156,9 +156,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         width = 2 if encoder.type == "<u2" and end_id < 65_536 else 4
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            for k in range(0, batch.num_rows, 5_000):
-                b = batch.slice(k, 5_000)
-                data = encoder.encode_column(b["text"])
+            for k in range(0, batch.num_rows, 2_500):
+                b = batch.slice(k, 2_500)
+                data = encoder.encode_column(b["text"], 4_000_000)
                 data = [x + end for x in (data if width == int(encoder.type[-1]) else [np.frombuffer(x, encoder.type).astype("<u4").tobytes() for x in data])]
                 sizes, starts = [len(x) // width for x in data], []
                 for source, n in zip(b["source"].to_pylist(), sizes, strict=True):
