@@ -18,7 +18,7 @@ highest of them; labels of unknown documents and null labels are ignored; repeat
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -149,12 +149,12 @@ def fitted(marked: DataFrame) -> Model:
     sample = marked.join(F.broadcast(firsts), ["sketch", "grade", "doc_id"]).select("grade", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
+        n: dict[int, Counter] = defaultdict(Counter)
         for b in batches:
             for t, y in zip(b["text"], b["grade"].tolist(), strict=True):
-                n["", y] += 1
-                n.update((f, y) for f in {f for w in set(WORD.findall(t.lower())) for f in features(w)})
-        yield pd.DataFrame([(f, y, k) for (f, y), k in n.items()], columns=["feature", "grade", "n"])
+                n[y].update({"", *(f for w in set(WORD.findall(t.lower())) for f in features(w))})
+        for y, c in n.items():
+            yield pd.DataFrame({"feature": list(c), "grade": y, "n": list(c.values())})
 
     counts = saved(sample.mapInPandas(counted, "feature string, grade int, n long").groupBy("feature", "grade").agg(F.sum("n").alias("n")), "toxicity-counts")
     try:
