@@ -7,9 +7,12 @@ and learns from where the prompt, which ends in an opened assistant turn, stops.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,17 +50,52 @@ def encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Between the turns of a chat text.
+BETWEEN = re.compile(r"(?<=<\|im_end\|>\n)(?=<\|im_start\|>)")
+
+
+@lru_cache(maxsize=4)
+def cuttable(path: str) -> bool:
+    """Whether a chat text may be encoded turn by turn with the ids of the whole: no normalizer or post-processor looks across the cut,
+    no added token holds a line end, and a byte-level pattern parts "\\n" and "<" wherever they meet (the one "\\n" after ">" is a piece
+    of its own at a text's end too)."""
+    made = json.loads(encoder(path).to_str())
+    split = made["pre_tokenizer"] or {}
+    plain = not made["normalizer"] and not made["post_processor"] and not made["truncation"] and not made["padding"]
+    level = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+    return plain and level and not any("\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in made["added_tokens"])
+
+
+def encoded(texts: list[str], path: str) -> Iterator[list[np.ndarray]]:
+    """For each text the ids of its turns; each distinct turn is encoded once."""
+    turns = [BETWEEN.split(t) if cuttable(path) else [t] for t in texts]
+    known = list(dict.fromkeys(t for ts in turns for t in ts))
+    ids = dict(zip(known, (np.array(e.ids, np.int64) for e in encoder(path).encode_batch_fast(known, add_special_tokens=False)), strict=True))
+    return ([ids[t] for t in ts] for ts in turns)
+
+
 def token_ids(text: Column, path: str) -> Column:
     """Ids by a tokenizers file, without added special tokens, never truncated; null texts are empty. Arrow batches, one library call each."""
 
     @F.pandas_udf("array<bigint>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([e.ids for e in encoder(path).encode_batch(batch.fillna("").tolist(), add_special_tokens=False)])
+            yield pd.Series([np.concatenate(x) for x in encoded(batch.fillna("").tolist(), path)], dtype=object)
 
     return ids(text)
 
 
+def n_tokens(text: Column, path: str) -> Column:
+    """How many ids token_ids gives."""
+
+    @F.pandas_udf("int")
+    def n(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([sum(map(len, x)) for x in encoded(batch.fillna("").tolist(), path)], dtype="int32")
+
+    return n(text)
+
+
 def first_id(word: str, path: str) -> int:
     return encoder(path).encode(word, add_special_tokens=False).ids[0]
 
@@ -66,12 +104,12 @@ def labelled(rows: DataFrame, family: str, path: str, patches: Column | None = N
     """Rendered rows with ids, attention and labels. `family` is one of training.FAMILIES, or `internvl`, which needs `patches`."""
     if family == "internvl":
         turns = tiled_turns(patches, tokens_per_patch)
-        out = rows.withColumns({"ids": token_ids(chatml(turns), path), "_prompt": token_ids(chatml(templates.prompt_only(turns), True), path)})
-        out = out.withColumn("labels", tokens.masked_prefix(F.col("ids"), F.size("_prompt"))).drop("_prompt")
+        out = rows.withColumns({"ids": token_ids(chatml(turns), path), "_prompt": n_tokens(chatml(templates.prompt_only(turns), True), path)})
+        out = out.withColumn("labels", tokens.masked_prefix(F.col("ids"), F.col("_prompt"))).drop("_prompt")
     else:
         out = rows.withColumn("ids", token_ids(chatml(flattened(templates.messages())), path))
         out = out.withColumn("labels", tokens.masked_to_marker(F.col("ids"), F.lit(first_id("assistant", path)).cast("bigint")))
-    return out.withColumn("attention", F.transform("ids", lambda x: F.lit(1)))
+    return out.withColumn("attention", F.array_repeat(F.lit(1), F.size("ids")))
 
 
 def collated(rows: DataFrame, pad_id: int, by: str = "batch_id") -> DataFrame:

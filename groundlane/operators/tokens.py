@@ -88,16 +88,22 @@ def padded(rows: DataFrame, pad_id: int, by: str = "batch_id") -> DataFrame:
     return out.drop("_missing")
 
 
+def _ignored_first(ids: Column, n: Column) -> Column:
+    """ids with their first n ignored, as one run and a slice: `n` is found once for a row, not at each id."""
+    n = F.greatest(n.cast("int"), F.lit(0))
+    return F.concat(F.array_repeat(F.lit(IGNORED).cast("bigint"), n), F.slice(ids, n + 1, F.size(ids)))
+
+
 def masked_to_marker(ids: Column, marker: Column) -> Column:
     """Labels: all up to and including the first marker is ignored. A text without the marker is an error."""
     at = F.array_position(ids, marker)
     checked = F.when(at == 0, F.raise_error(F.lit("no assistant marker in the tokens")).cast("bigint")).otherwise(at)
-    return F.transform(ids, lambda t, i: F.when(i < checked, F.lit(IGNORED).cast("bigint")).otherwise(t))
+    return _ignored_first(ids, checked)
 
 
 def masked_prefix(ids: Column, prompt_size: Column) -> Column:
     """Labels: as many ids as the prompt has, at most all, are ignored."""
-    return F.transform(ids, lambda t, i: F.when(i < F.least(prompt_size, F.size(ids)), F.lit(IGNORED).cast("bigint")).otherwise(t))
+    return _ignored_first(ids, F.least(prompt_size, F.size(ids)))
 
 
 def masked_padding(labels: Column, attention: Column) -> Column:

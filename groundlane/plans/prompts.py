@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boxes, collate, curate, geometry, templates, tokens
 from ..sources import bindings
+from ..sources.shared import written
 from .curation import ASSIGNED, ITEMS, SYSTEM
 from .geometry import RESIZED_28
 
@@ -87,7 +88,8 @@ def q46_chat_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = tokens.batches(tokens.epoch_order(_rendered(spark, sf_dir), 117, "item_id"), 4)
+    texts = written(_rendered(spark, sf_dir).select("item_id", "image_path", "system_text", "user_text", "assistant_text"), "chat-texts")  # read by the order's counts too
+    rows = written(tokens.batches(tokens.epoch_order(texts, 117, "item_id"), 4), "chat-batches")  # read by both families
     digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " ")).alias(f"{c}_md5")
     found = []
     for family in ("qwen3", "internvl"):
