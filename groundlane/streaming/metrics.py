@@ -23,33 +23,58 @@ def batch_losses(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return lines.where("type = 'batch_loss'").select("global_step", "batch_idx", "loss", F.col("_metadata.file_modification_time").alias("written"))
 
 
+#: Consecutive blocks that share a state and a timer: calls of the state store grow with groups, not with blocks.
+GROUP = 256
+
+
 class BlockLosses(StatefulProcessor):
-    """The steps of one block, `accumulation` at most, until a timer lets them go."""
+    """The steps of a group's blocks, `accumulation` at most of each, every block's until its own time to go."""
 
     def __init__(self, accumulation: int, batch_size: int, idle_ms: int):
         self.accumulation, self.batch_size, self.idle_ms = accumulation, batch_size, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "steps array<long>, written array<long>, losses array<double>")
+        self.held = handle.getValueState("held", "blocks array<long>, steps array<long>, written array<long>, losses array<double>")
+
+    def blocks(self) -> dict[int, dict[int, tuple[int, float]]]:
+        """Block -> step -> when it was written, and its loss."""
+        found: dict[int, dict[int, tuple[int, float]]] = {}
+        for block, step, at, loss in zip(*self.held.get(), strict=True) if self.held.exists() else ():
+            found.setdefault(block, {})[step] = (at, loss)
+        return found
+
+    def due(self, steps: dict[int, tuple[int, float]]) -> int:
+        return max(at for at, _ in steps.values()) + 2 * self.idle_ms
+
+    def keep(self, found: dict[int, dict[int, tuple[int, float]]]) -> None:
+        """Holds these blocks, and sets the group's one timer for the first of them that goes."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not found:
+            self.held.clear()
+            return
+        rows = [(block, step, *found[block][step]) for block in found for step in sorted(found[block])]
+        self.held.update(tuple(map(list, zip(*rows, strict=True))))
+        self.handle.registerTimer(min(map(self.due, found.values())))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {s: (at, x) for s, at, x in zip(*self.held.get(), strict=True)} if self.held.exists() else {}
-        before = dict(held)
+        found, before = self.blocks(), {}
         for f in rows:
-            for step, at, loss in zip(f["global_step"].tolist(), f["at"].tolist(), f["loss"].tolist(), strict=True):
+            for block, step, at, loss in zip(f["block"].tolist(), f["global_step"].tolist(), f["at"].tolist(), f["loss"].tolist(), strict=True):
+                held = found.setdefault(block, {})
+                if block not in before:
+                    before[block] = dict(held)
                 if step not in held or held[step][0] <= at:
                     held[step] = (at, loss)
-        steps = sorted(held)
-        self.held.update((steps, [held[s][0] for s in steps], [held[s][1] for s in steps]))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(max(at for at, _ in held.values()) + 2 * self.idle_ms)
-        if len(held) == self.accumulation and held != before:
-            yield pd.DataFrame({"block": [key[0]], "loss": [sum(held[s][1] / self.batch_size for s in steps)]})
+        self.keep(found)
+        full = [b for b, old in before.items() if len(found[b]) == self.accumulation and found[b] != old]
+        if full:
+            yield pd.DataFrame({"block": full, "loss": [sum(found[b][s][1] / self.batch_size for s in sorted(found[b])) for b in full]})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.keep({block: steps for block, steps in self.blocks().items() if self.due(steps) > now})
         yield from ()
 
     def close(self) -> None:
@@ -61,8 +86,9 @@ def rolling_blocks(stream: DataFrame, accumulation: int, batch_size: int, idle_s
     of the later file counts, as in the batch query. A block's state goes once the log is twice `idle_seconds` past its last record; a
     step that comes still later opens its block anew. The session needs STATE_STORE."""
     timed = stream.withWatermark("written", f"{idle_seconds} seconds").withColumn("at", F.unix_millis("written"))
-    blocks = timed.withColumn("block", F.floor(F.col("batch_idx") / accumulation)).groupBy("block")
-    return blocks.transformWithStateInPandas(BlockLosses(accumulation, batch_size, 1000 * idle_seconds), "block long, loss double", "Update", "EventTime")
+    blocks = timed.withColumn("block", F.floor(F.col("batch_idx") / accumulation))
+    groups = blocks.withColumn("blocks", F.floor(F.col("block") / GROUP)).groupBy("blocks")
+    return groups.transformWithStateInPandas(BlockLosses(accumulation, batch_size, 1000 * idle_seconds), "block long, loss double", "Update", "EventTime")
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:

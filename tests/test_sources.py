@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,46 @@ def test_metrics_log_and_stream(spark, tmp_path):
     assert sorted(map(tuple, training.virtual_losses(batch, 8, 4).collect())) == [(0, 2.0), (1, 4.0)]
 
 
+class Store:
+    """A group's state and timers, and how often they are called."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "getValueState": lambda *_: self, "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+                "clear": lambda: setattr(self, "value", None), "listTimers": lambda: list(self.timers), "deleteTimer": self.timers.discard, "registerTimer": self.timers.add,
+                "getCurrentWatermarkInMs": lambda: max(self.timers, default=0), "getExpiryTimeInMs": lambda: max(self.timers, default=0),
+            }[name](*args)
+
+        return call
+
+
+def test_blocks_of_a_group_share_state_and_go_one_by_one():
+    """Before, each block had calls of its own: six of the state store for eight records."""
+    store, blocks = Store(), metrics.BlockLosses(2, 4, idle_ms=10)
+    blocks.init(store)
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["block", "global_step", "at", "loss"])])
+    took = lambda rows: sorted(x for f in blocks.handleInputRows((0,), frame(rows), store) for x in f.itertuples(index=False, name=None))
+    before = store.calls
+    rows = [(b, s, b, 2.0) for b in range(metrics.GROUP) for s in (2 * b, 2 * b + 1)]
+    assert took(rows) == [(b, 1.0) for b in range(metrics.GROUP)] and store.calls - before < 9
+    assert store.timers == {20} and took(rows) == []  # nothing has changed
+    assert took([(0, 0, 500, 6.0), (1, 2, 0, 9.0)]) == [(0, 2.0)]  # an older record counts no more
+    assert store.timers == {21}
+    list(blocks.handleExpiredTimer((0,), store, store))
+    assert sorted(blocks.blocks())[:2] == [0, 2] and store.timers == {22}
+    store.timers = {400}
+    list(blocks.handleExpiredTimer((0,), store, store))
+    assert blocks.blocks() == {0: {0: (500, 6.0), 1: (0, 2.0)}} and store.timers == {520}
+    list(blocks.handleExpiredTimer((0,), store, store))
+    assert store.value is None and not store.timers
+    assert took([(1, 2, 900, 1.0)]) == [] and store.timers == {920}
+
+
 def test_a_batch_run_again_writes_its_records_once(spark, tmp_path, monkeypatch):
     out = f"file://{tmp_path}/out"
     write, rows = metrics.batch_writer(out), spark.range(5).selectExpr("id AS block", "1.0D AS loss")
