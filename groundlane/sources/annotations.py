@@ -7,6 +7,7 @@ absent, one that is null and one of another type than declared are three things.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,25 +21,46 @@ FILE_FAULTS = ("malformed", "no_items")
 ITEM_FAULTS = ("no_object", "no_image_path", "no_length")
 
 
-def globbed(root: str, splits: Sequence[str]) -> list[str]:
+def globbed(root: str, splits: Sequence[str]) -> list[tuple[str, str]]:
+    """The folders that may hold files, and the files' names in them."""
     root, names = root.rstrip("/"), ",".join(splits)
-    return [f"{root}/*/{{{names}}}/json/*.json", f"{root}/dataset=*/split={{{names}}}/*"]
+    return [(f"{root}/*/{{{names}}}/json", "*.json"), (f"{root}/dataset=*/split={{{names}}}", "*")]
+
+
+def escaped(path: str) -> str:
+    """A path as a pattern that only it matches."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def empty_files(spark: SparkSession, statuses) -> list[str]:
+    """The paths of those of an array of file statuses that hold nothing. The driver gets the statuses as one text, and asks for a
+    status by itself only where the text says that it is empty, or doesn't tell."""
+    told = re.findall(r"; isDirectory=(?:true|false; length=(\d+));", spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(statuses))
+    maybe = [k for k, n in enumerate(told) if n in ("", "0")] if len(told) == len(statuses) else range(len(statuses))
+    return [statuses[k].getPath().toString() for k in maybe if not statuses[k].getLen()]
 
 
 def annotation_files(spark: SparkSession, root: str, splits: Sequence[str] = ("train", "val")) -> DataFrame:
     """dataset, split, file, document (VARIANT) and fault of every annotation file. `malformed`: no JSON document in UTF-8, or one that names
     a key twice; `no_items`: `items` is absent or no list. Splits that no dataset has are skipped. The
-    driver lists the files, as it does for any source."""
-    fs = store(spark, root)[0]
-    listed = {g: list(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(g)) or []) for g in globbed(root, splits)}
-    found = [g for g, files in listed.items() if files]
-    if not found:
+    driver lists the folders, as it does for any source."""
+    fs, path = store(spark, root)[0], spark._jvm.org.apache.hadoop.fs.Path
+    content, empty = [], []
+    for folders, name in globbed(root, splits):
+        files = fs.globStatus(path(f"{folders}/{name}"))
+        if files is None or not len(files):
+            continue
+        # Whole files as they are. Folders are read, not files by name, each of which Spark would list by a task of its own.
+        found = [x.getPath().toString() for x in fs.globStatus(path(folders)) if x.isDirectory()]
+        content.append(spark.read.format("binaryFile").option("pathGlobFilter", name).load([escaped(x) for x in found]).select(F.col("path").alias("file"), "content"))
+        # Spark's sources pass over empty files, so these are named here.
+        empty += empty_files(spark, files)
+    if not content:
         raise FileNotFoundError(f"{root}: no dataset has a file for any of {list(splits)}")
-    # Whole files as they are. Spark's sources pass over empty ones, so these are named here.
-    whole = spark.read.format("binaryFile").load(found)
-    rows = whole.select(F.col("path").alias("file"), F.try_parse_json(F.try_validate_utf8(F.col("content").cast("string"))).alias("document"))
-    if empty := [(x.getPath().toString(),) for files in listed.values() for x in files if not x.getLen()]:
-        rows = rows.unionAll(spark.createDataFrame(empty, "file string").select("file", F.parse_json(F.lit(None).cast("string"))))
+    whole = content[0] if len(content) == 1 else content[0].unionAll(content[1])
+    rows = whole.select("file", F.try_parse_json(F.try_validate_utf8(F.col("content").cast("string"))).alias("document"))
+    if empty:
+        rows = rows.unionAll(spark.createDataFrame([(x,) for x in empty], "file string").select("file", F.parse_json(F.lit(None).cast("string"))))
     items = F.expr("try_variant_get(document, '$.items', 'array<variant>')")
     fault = F.when(F.col("document").isNull(), FILE_FAULTS[0]).when(items.isNull(), FILE_FAULTS[1])
     return rows.select(F.regexp_extract("file", PLACES, 1).alias("dataset"), F.regexp_extract("file", PLACES, 2).alias("split"), "file", "document", fault.alias("fault"))
