@@ -76,7 +76,7 @@ def annotation_folder(spark: SparkSession, sf_dir: str) -> str:
     document numbered 0 is lost, as where a writer was stopped."""
     n = table(spark, sf_dir, "orders").count() // DOCUMENT_ITEMS + 1
     rows = item_texts(spark, sf_dir).withColumn("document", hash32("file", "item_id") % n)
-    per = rows.groupBy("dataset", "split", "document").agg(F.array_join(F.array_sort(F.collect_list("item")), ",\n  ").alias("items"))
+    per = rows.groupBy("dataset", "split", "document").agg(F.array_join(F.sort_array(F.collect_list("item")), ",\n  ").alias("items"))
     whole = F.concat(F.lit('{\n "items": [\n  '), F.col("items"), F.lit("\n ],\n \"made\": true\n}"))
     text = F.when(F.col("document") == 0, F.substring(whole, F.lit(1), (F.length(whole) / 2).cast("int"))).otherwise(whole)
     root = shared_dir(spark, "annotations")
