@@ -34,6 +34,9 @@ from .tok import json_encoder
 MAGIC, ENTRY, NO_ID = b"GLTOKEN1", np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")]), -(2**63)
 SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL, SHARD_DOCS, SHARD_BYTES = 1_000, 20_000, 64_000, 3, 200_000, 128_000_000
 
+#: Bytes of text that are encoded at a time: of each block's distinct pieces every one is looked up once.
+BLOCK = 16_000_000
+
 
 class Shard:
     """Documents of a shard, one by one through its index or in order in one reading."""
@@ -84,8 +87,8 @@ def serialiser(tokenizer: str, end_id: int):
     width = 2 if encoder.type == "<u2" and end_id < 65_536 else 4
     end = end_id.to_bytes(width, "little")
     if width == int(encoder.type[-1]):
-        return lambda texts: [x + end for x in encoder.encode_column(texts)], width
-    return lambda texts: [np.frombuffer(x, encoder.type).astype("<u4").tobytes() + end for x in encoder.encode_column(texts)], width
+        return lambda texts: [x + end for x in encoder.encode_column(texts, BLOCK)], width
+    return lambda texts: [np.frombuffer(x, encoder.type).astype("<u4").tobytes() + end for x in encoder.encode_column(texts, BLOCK)], width
 
 
 def trained(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> bytes:

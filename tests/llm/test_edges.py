@@ -353,3 +353,15 @@ def test_encoders_equal_the_library():
         want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
         assert [list(ours.encode(t)) for t in texts] == want
         assert [np.frombuffer(x, ours.type).tolist() for x in ours.encode_column(pa.array([*texts, None]), 5_000)] == [*want, []]
+
+
+def test_token_files_encode_blocks_of_16_mb(monkeypatch):
+    """Before, blocks of 8 MB looked the same pieces up twice as often."""
+    paths = pytest.importorskip("public_tokenizers")
+    from groundlane.llm import tok
+
+    sizes, block = [], tok.JsonEncoder.block
+    monkeypatch.setattr(tok.JsonEncoder, "block", lambda self, texts: sizes.append(len(texts)) or block(self, texts))
+    encode, width = tokenbin.serialiser(paths.path("byte_bpe_50k.json"), 2)
+    out = encode(pa.array(["some words " * 100_000] * 16))
+    assert sizes == [14, 2] and len(set(out)) == 1 and out[0][-width:] == (2).to_bytes(width, "little")
